@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup, line_dedup, mixing
+from palimpsest.llm import exact_dedup, fingerprints, line_dedup, mixing, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
