@@ -130,9 +130,9 @@ def _shift(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
     return max(0.0, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
 
 
-def _texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[str | None]]]:
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
     """Slices of a batch of bounded size: (from, upto, texts)."""
-    texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+    texts = batch.column(column).to_pylist()
     at, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t or "")
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _texts(batch):
+            for lo, hi, texts in _texts(batch, 2):
                 offsets, indices = features(texts)
                 packed = [indices[a:b].astype(np.uint32).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 part = batch.slice(lo, hi - lo)
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         w = weights.value
         among = w != 0
         for batch in batches:
-            for lo, hi, texts in _texts(batch):
+            for lo, hi, texts in _texts(batch, 1):
                 offsets, indices = features(texts, among)
                 p = _sigmoid(_sums(w[indices], offsets) + bias)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64())], ["__id", "score"])
@@ -196,6 +196,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` below the threshold, with all their columns; the texts stay where they are."""
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    bias, at = model.bias, docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        among = w != 0
+        for batch in batches:
+            for lo, hi, texts in _texts(batch, at):
+                offsets, indices = features(texts, among)
+                fine = _sigmoid(_sums(w[indices], offsets) + bias) < THRESHOLD
+                yield batch.slice(lo, hi - lo).filter(pa.array(fine))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
