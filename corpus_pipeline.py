@@ -1,10 +1,71 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``. Null texts, empty tables and repeated rows are handled as the operators state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import jaccard_join, line_dedup, mixing, sentencepieces, toxicity
+
+#: Words of a shingle and least similarity, in percent, of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Share of a source's documents above which a line is boilerplate, and the least number of documents.
+LINE_RATIO, LINE_DOCS = 0.1, 4
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't predict to be toxic; it learns from the texts that come in."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject_toxic(docs, toxicity.train(docs, labels))
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that are boilerplate of their source; every document stays."""
+    out = line_dedup.line_dedup(docs, F.col("source"), F.col("text"), F.col("doc_id"), LINE_RATIO, LINE_DOCS)
+    changed = F.size("__kept") < F.size("__lines")
+    text = F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col("text"))
+    return out.withColumn("__text", text).select(*[F.col("__text").alias(c) if c == "text" else F.when(changed, F.length("__text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id; ids are unique."""
+    parts = jaccard_join.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    keep = parts.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; copies are rows of their own."""
+    _, rule = mixing.mix(docs)
+    whole = F.struct(*docs.columns)
+    rows = docs.select(whole.alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"))
+    taken = mixing.copies(rows, rule).where("copies > 0")
+    return taken.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__doc.*")
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row that the mix took."""
+    return sentencepieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate_lines),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("mixing", mix_sources),
+    ("sentencepieces", encode_pieces),
+]
+
+#: A learnt classifier and a tokenizer aren't SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
