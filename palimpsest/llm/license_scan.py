@@ -94,12 +94,13 @@ def idf(df: Column, total: Column) -> Column:
     return F.log((total + 1) / (df + 1)) + 1
 
 
-def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source / language / shelf of ids; one that begins with a notice is its folder's LICENSE."""
-    opening = F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1)
+def as_files(docs: DataFrame, short: int = 12) -> DataFrame:
+    """Documents as files of a tree: source / language / shelf of ids; one of few lines with a notice is its folder's LICENSE."""
+    text = F.coalesce("text", F.lit(""))
+    notice = (F.size(F.split(text, "\n")) <= short) & text.rlike(CUE)
     folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 500).cast("string"))
-    path = F.when(opening.rlike(CUE), F.concat(folder, F.lit("/LICENSE"))).otherwise(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select("doc_id", path.alias("path"), "text")
+    name = F.when(notice, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,9 @@ def random_unit(key: Column, seed: str) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(no_source, source, source_size) with weight and target: water filling in closed form.
 
-    Sources are sorted by how soon they fill; those before the first that stays under its cap
-    are capped, and the rest share what is left by weight. One row per source goes through an
+    Sources are sorted by how soon they fill. If all before one are capped, the level is what is
+    left over by the open weight; it rises until the first source that stays under its cap and
+    falls after it, so the highest is the right one. One row per source goes through an
     unpartitioned window; that is a summary, not the data.
     """
     order = W.orderBy("no_source", "source")
@@ -40,9 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     s = s.withColumn("total", F.sum("source_size").over(everything) * share)
     s = s.withColumn("before", F.coalesce(F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("open_weight", F.sum("weight").over(fill.rowsBetween(0, W.unboundedFollowing)))
-    level = (F.col("total") - F.col("before")) / F.col("open_weight")
-    s = s.withColumn("level", F.when(F.col("cap") / F.col("weight") >= level, level)).withColumn("level", F.min("level").over(everything))
-    return s.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), "cap")).select("no_source", "source", "source_size", "weight", "target")
+    level = F.max((F.col("total") - F.col("before")) / F.col("open_weight")).over(everything)
+    return s.withColumn("level", level).withColumn("target", F.least("cap", F.col("weight") * F.col("level"))).select("no_source", "source", "source_size", "weight", "target")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
@@ -114,8 +114,8 @@ w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY no_source, source)
 f AS (SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total,
   coalesce(sum(cap) OVER (ORDER BY cap / weight, no_source, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)::DOUBLE AS before,
   sum(weight) OVER (ORDER BY cap / weight, no_source, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
-l AS (SELECT *, min(CASE WHEN cap / weight >= (total - before) / open_weight THEN (total - before) / open_weight END) OVER () AS level FROM f),
-t AS (SELECT no_source, source, source_size, coalesce(least(cap, weight * level), cap) AS target FROM l),
+l AS (SELECT *, max((total - before) / open_weight) OVER () AS level FROM f),
+t AS (SELECT no_source, source, source_size, least(cap, weight * level) AS target FROM l),
 m AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS times, target - floor(coalesce(target / nullif(source_size, 0), 0)) * source_size AS rest FROM t),
 k AS (SELECT r.*, m.source_size, m.target, m.times, m.rest, sum(size) OVER (PARTITION BY r.no_source, r.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM r JOIN m ON r.no_source = m.no_source AND r.source = m.source)
