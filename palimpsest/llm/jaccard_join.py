@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm._common import materialize, partitions, skew_join
 from palimpsest.llm._words import LOWER, Batch, mix64, runs
 
-DIMS = 32
+#: Coordinates of a point, and of the coarse sums of them that the trees are built on.
+DIMS, COARSE = 256, 32
 LEAF = 32
 #: Points of one tree; larger groups are dealt to pairs of tiles.
 TILE = 2000
@@ -70,7 +71,12 @@ def node_of(s: np.ndarray) -> int:
 
 
 def point_of(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS).astype(np.uint32)
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS)
+    return counts.astype(np.uint32)
+
+
+def points_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, DIMS)
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
@@ -109,7 +115,8 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(-1)
+    """The sum of coordinate minima: an upper bound of the overlap of two sets."""
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
 
 
 def _needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -121,12 +128,14 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np
     """Index pairs whose bound allows a link, of different parts; sides 0 and 1 meet only each other.
 
     The tree is packed: points sorted by size and leading coordinates, leaves of LEAF points,
-    boxes of coordinate maxima and least sizes. Leaf against leaf, then point against point.
+    boxes of coordinate maxima and least sizes. Leaf against leaf, then point against point, on
+    COARSE sums of coordinates first, whose bound is wider, and then on all.
     """
-    order = np.lexsort((points[:, 1], points[:, 0], sizes))
+    coarse = points.reshape(len(points), COARSE, -1).sum(-1, dtype=np.int32)
+    order = np.lexsort((coarse[:, 1], coarse[:, 0], sizes))
     begin = np.arange(0, len(order), LEAF)
     ends = np.append(begin[1:], len(order))
-    p, n = points[order], sizes[order]
+    p, n = coarse[order], sizes[order]
     boxes = np.maximum.reduceat(p, begin, axis=0)
     least, most = np.minimum.reduceat(n, begin), np.maximum.reduceat(n, begin)
     for i in range(len(begin)):
@@ -142,8 +151,10 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np
             if i == j:
                 ok &= a[:, None] < b[None]
             x, y = np.nonzero(ok)
-            if len(x):
-                yield ia[x], ib[y]
+            x, y = ia[x], ib[y]
+            fine = _bound(points[x], points[y]) >= _needed(sizes[x], sizes[y], percent)
+            if fine.any():
+                yield x[fine], y[fine]
 
 
 class JaccardJoin:
@@ -189,7 +200,8 @@ class JaccardJoin:
                     if nodes:
                         yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(sigs).view(np.int64)), "node": pa.array(np.concatenate(nodes))})
 
-        rows = self.rows.mapInArrow(make, "sig long, node long").repartition(self.n, "sig")
+        # the filter is what the join below would add on one side only, and keep the exchange from being shared
+        rows = self.rows.mapInArrow(make, "sig long, node long").where("sig IS NOT NULL").repartition(self.n, "sig")
         often = rows.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig")
         return materialize(rows.join(often, "sig", "left_semi").distinct(), "groups")
 
@@ -202,7 +214,7 @@ class JaccardJoin:
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                pa_, pb = (np.frombuffer(b"".join(col(c).to_pylist()), np.uint32).reshape(-1, DIMS) for c in ("p_a", "p_b"))
+                pa_, pb = points_in(col("p_a")), points_in(col("p_b"))
                 na, nb = (col(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
                 keep = pa.array(_bound(pa_, pb) >= _needed(na, nb, percent))
                 yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(keep)
@@ -263,7 +275,7 @@ class JaccardJoin:
         def search(table: pa.Table) -> pa.Table:
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             nodes_, part, n, at = (table.column(c).to_numpy() for c in ("node", "part", "n", "tile"))
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, DIMS)
+            points = points_in(table.column("point"))
             side = np.full(len(n), 2) if i == j else (at == j).astype(np.int64)
             found = list(tree_pairs(points, n, part, side, percent))
             a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
