@@ -2,12 +2,193 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "page_manifest"
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as T
+from palimpsest.functions import urls as U
+from palimpsest.operators import crawl, state, verify
+from palimpsest.session import table
+
+FLAGSHIP = "pending"
+NOW = "2026-01-01T00:00:00.000Z"
+_SITE = "https://docs.example.com/d/"
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each non-blank line of a document as a text segment of a page."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "source_text"))
+    url, dom = F.concat(F.lit(_SITE), F.col("doc_id").cast("string")), F.concat(F.lit("root[0]/p["), F.col("pos").cast("string"), F.lit("]/#text[0]"))
+    seg = lines.select("doc_id", "pos", url.alias("page_url"), dom.alias("dom_path"), "source_text", T.normalize(F.col("source_text")).alias("norm")).where("norm <> ''")
+    none = F.lit("")
+    return seg.withColumns({
+        "segment_id": T.sha(F.col("page_url"), F.col("dom_path"), F.lit("text"), none),
+        "reuse_key": T.sha(F.col("page_url"), F.lit("text"), none, F.lit("p"), none, F.col("norm")),
+        "source_hash": F.sha2("norm", 256),
+    })
+
+
+def translations(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataFrame:
+    """Stand-in state: labelled documents are translated; some hashes are old, some ids have moved."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    seg = segments(spark, sf_dir).join(labels, "doc_id")
+    ident = F.when(F.col("pos") % 7 == 0, F.sha2(F.concat(F.lit("moved"), "segment_id"), 256)).otherwise(F.col("segment_id")) if moved else F.col("segment_id")
+    old = F.when(F.col("pos") % 5 == 0, F.concat(F.lit("x"), "source_hash")).otherwise(F.col("source_hash"))
+    status = F.when(F.col("toxic") == 1, "stale").when(F.col("quality") == 1, "accepted").otherwise("draft")
+    return seg.select(ident.alias("segment_id"), "reuse_key", F.concat(F.lit("t:"), "norm").alias("translated_text"), (F.col("source_hash") if moved else old).alias("source_hash"), status.alias("status"), F.lit("2025-01-01T00:00:00.000Z").alias("updated_at"))
+
+
+def _page_manifest(spark, d):
+    return crawl.page_manifest(table(spark, d, "pages"))
+
+
+def _url_filter(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return crawl.included(pages, [r"/en/", r"/de/"], [r"utm_source", r"#top$"])
+
+
+def _anchors(spark, d):
+    return crawl.anchors(table(spark, d, "pages"))
+
+
+def _dangling(spark, d):
+    pages = table(spark, d, "pages")
+    known = pages.select(U.canonical(F.col("url")).alias("target")).distinct()
+    base = pages.select("page_id", U.origin(F.col("url")).alias("o"))
+    links = crawl.anchors(pages).join(base, "page_id").select("page_id", "ord", F.concat("o", "href").alias("target"))
+    return links.join(known, "target", "left_anti")
+
+
+def _public_paths(spark, d):
+    return crawl.page_manifest(table(spark, d, "pages")).select("url", U.public_path(F.col("output_path"), "/mirror").alias("public_path"))
+
+
+def _reachability(spark, d):
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+    pages = table(spark, d, "pages").select("page_id")
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    edges = pages.crossJoin(F.broadcast(n)).select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 7 + 3) % F.col("n"), (F.col("page_id") * 2 + 1) % F.col("n"))).alias("dst"))
+    return crawl.reachable(edges, pages.where("page_id = 0").select(F.col("page_id").alias("node")))
+
+
+def _mark_stale(spark, d):
+    return state.mark_stale(translations(spark, d), segments(spark, d), NOW)
+
+
+def _carry_forward(spark, d):
+    return state.carry_forward(translations(spark, d, moved=True), segments(spark, d))
+
+
+def _pending(spark, d):
+    return state.pending(segments(spark, d), translations(spark, d)).select("segment_id", "page_url", "dom_path", "source_hash")
+
+
+def _doctor(spark, d):
+    return state.doctor(segments(spark, d), translations(spark, d))
+
+
+def _task_items(spark, d):
+    todo = state.pending(segments(spark, d), translations(spark, d))
+    task = F.concat(F.lit("task_"), F.substring(F.sha2("page_url", 256), 1, 10))
+    return todo.select(task.alias("task_id"), verify.numbered(todo, "page_url", "pos").alias("id"), F.col("source_text").alias("text"))
+
+
+def _item_issues(spark, d):
+    items = segments(spark, d).select("segment_id", "source_text", F.when(F.col("pos") % 11 == 0, F.lit(" ")).when(F.col("pos") % 13 == 0, F.regexp_replace("source_text", T.PLACEHOLDER, "")).when(F.col("pos") % 17 == 0, F.col("source_text")).otherwise(F.concat(F.lit("neu "), "source_text")).alias("target_text"))
+    return verify.item_issues(items, "source_text", "target_text").drop("source_text", "target_text")
+
+
+def _ordered_ids(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("turn").cast("string").alias("id"))
+    found = turns.select("conv_id", "pos", F.when(F.col("conv_id") % 3 == 0, F.lit("0")).when(F.col("conv_id") % 3 == 1, F.concat(F.col("id"), F.lit("x"))).otherwise(F.col("id")).alias("id"))
+    return verify.ordered_ids(found, turns, "conv_id")
+
+
+def _manifest_summary(spark, d):
+    s = F.col("o_orderstatus")
+    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "P").alias("pending"), F.count_if(s == "O").alias("done"), F.count_if(s == "F").alias("applied"), F.count_if(s.isNull() | ~s.isin("P", "O", "F")).alias("invalid"))
+
+
+def _runtime_manifest(spark, d):
+    seg = segments(spark, d).select("page_url", F.lower(F.regexp_extract("norm", r"^(\S+)", 1)).alias("src"), F.regexp_extract("norm", r"(\S+)$", 1).alias("dst"))
+    return state.conflict_free(seg, ["page_url", "src"], "dst")
+
+
+def _apply_upsert(spark, d):
+    base = translations(spark, d)
+    updates = base.where("status = 'draft'").withColumn("status", F.lit("accepted")).withColumn("updated_at", F.lit(NOW))
+    return state.upsert(base, updates, "segment_id", "updated_at")
+
+
+def _progress_metrics(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("ts").alias("last_at"))
+
+
+def _issue_topk(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", "value")
+    return e.orderBy(F.col("value").desc_nulls_last(), "event_id").limit(5)
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "page_manifest": _page_manifest, "url_filter": _url_filter, "link_anchors": _anchors, "dangling_links": _dangling, "public_paths": _public_paths, "reachability": _reachability,
+        "mark_stale": _mark_stale, "carry_forward": _carry_forward, "pending": _pending, "doctor": _doctor, "task_items": _task_items, "apply_upsert": _apply_upsert,
+        "item_issues": _item_issues, "ordered_ids": _ordered_ids, "manifest_summary": _manifest_summary, "runtime_manifest": _runtime_manifest, "progress_metrics": _progress_metrics, "issue_topk": _issue_topk,
+    }
+
+
+_SEG = rf"""
+l AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(0, len(t))) AS pos FROM l),
+n AS (SELECT doc_id, pos, '{_SITE}' || doc_id AS page_url, 'root[0]/p[' || pos || ']/#text[0]' AS dom_path, t[pos + 1] AS source_text,
+  regexp_replace(regexp_replace(t[pos + 1], '{T.WHITE}+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM p),
+seg AS (SELECT *, sha256(page_url || '::' || dom_path || '::text::') AS segment_id, sha256(page_url || '::text::::p::::' || norm) AS reuse_key, sha256(norm) AS source_hash FROM n WHERE norm <> ''),
+lab AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id),
+tr0 AS (SELECT seg.*, CASE WHEN toxic = 1 THEN 'stale' WHEN quality = 1 THEN 'accepted' ELSE 'draft' END AS status FROM seg JOIN lab USING (doc_id)),
+tr AS (SELECT segment_id, reuse_key, 't:' || norm AS translated_text, CASE WHEN pos % 5 = 0 THEN 'x' || source_hash ELSE source_hash END AS source_hash, status, '2025-01-01T00:00:00.000Z' AS updated_at FROM tr0),
+trm AS (SELECT CASE WHEN pos % 7 = 0 THEN sha256('moved' || segment_id) ELSE segment_id END AS segment_id, reuse_key, 't:' || norm AS translated_text, source_hash, status, '2025-01-01T00:00:00.000Z' AS updated_at FROM tr0)
+"""
+_URL = r"""
+u AS (SELECT page_id, html, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS o, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS p, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM pages),
+c AS (SELECT page_id, html, o, q, o || CASE WHEN p = '' THEN '/' ELSE p END || q AS url, regexp_replace(p, '^/+', '') AS s FROM u),
+m AS (SELECT url, min(page_id) AS page_id, arg_min(sha256(html), page_id) AS page_hash, min(s) AS s, min(q) AS q FROM c GROUP BY url),
+w AS (SELECT *, CASE WHEN s = '' THEN 'index.html' WHEN contains(regexp_extract(s, '([^/]*)$', 1), '.') THEN s ELSE s || '/index.html' END AS plain FROM m),
+x AS (SELECT *, regexp_extract(plain, '[^/](\.[^./]*)$', 1) AS ext FROM w),
+man AS (SELECT url, page_id, page_hash, substr(plain, 1, length(plain) - length(ext)) || CASE WHEN q = '' THEN '' ELSE '__q_' || substr(sha256(q), 1, 12) END || ext AS output_path FROM x)
+"""
+_PENDING = "SELECT * FROM seg WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.segment_id = seg.segment_id AND tr.source_hash = seg.source_hash AND tr.status = 'accepted')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "page_manifest": f"WITH {_URL} SELECT * FROM man",
+        "public_paths": rf"WITH {_URL} SELECT url, '/mirror/' || regexp_replace(output_path, '(^|/)index\.html$', '\1') AS public_path FROM man",
+        "url_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '/en/|/de/') AND NOT regexp_matches(url, 'utm_source|#top$')",
+        "link_anchors": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages), b AS (SELECT page_id, h, unnest(range(0, len(h))) AS ord FROM a) SELECT page_id, ord::INT AS ord, h[ord + 1] AS href FROM b""",
+        "dangling_links": f"""WITH {_URL}, a AS (SELECT page_id, o, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM c), b AS (SELECT page_id, o, h, unnest(range(0, len(h))) AS ord FROM a)
+            SELECT page_id, ord::INT AS ord, o || h[ord + 1] AS target FROM b WHERE o || h[ord + 1] NOT IN (SELECT url FROM c)""",
+        "reachability": """WITH RECURSIVE k AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 2 + 1) % n]) AS dst FROM pages, k),
+            r(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 30) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""",
+        "mark_stale": f"""WITH {_SEG}, j AS (SELECT tr.*, coalesce(s.source_hash = tr.source_hash, false) AS fresh, s.reuse_key AS now_key FROM tr LEFT JOIN seg s ON tr.segment_id = s.segment_id)
+            SELECT segment_id, CASE WHEN fresh THEN coalesce(now_key, reuse_key) ELSE reuse_key END AS reuse_key, translated_text, source_hash, CASE WHEN NOT fresh THEN 'stale' WHEN status = 'stale' THEN 'accepted' ELSE status END AS status,
+            CASE WHEN fresh AND status <> 'stale' THEN updated_at ELSE '{NOW}' END AS updated_at FROM j""",
+        "carry_forward": f"""WITH {_SEG}, a AS (SELECT reuse_key, source_hash, min(segment_id) AS segment_id FROM seg WHERE segment_id NOT IN (SELECT segment_id FROM trm) GROUP BY ALL HAVING count(*) = 1),
+            b AS (SELECT reuse_key, source_hash, min(translated_text) AS translated_text, min(updated_at) AS updated_at FROM trm WHERE status <> 'draft' GROUP BY reuse_key, source_hash HAVING count(*) = 1)
+            SELECT segment_id, reuse_key, translated_text, source_hash, 'accepted' AS status, updated_at FROM a JOIN b USING (reuse_key, source_hash)""",
+        "pending": f"WITH {_SEG} SELECT segment_id, page_url, dom_path, source_hash FROM ({_PENDING})",
+        "doctor": f"""WITH {_SEG}, j AS (SELECT tr.status, coalesce(s.source_hash = tr.source_hash, false) AS fresh FROM tr LEFT JOIN seg s ON tr.segment_id = s.segment_id)
+            SELECT count(*) FILTER (WHERE fresh AND status = 'accepted') AS translated, count(*) FILTER (WHERE NOT fresh OR status = 'stale') AS stale, (SELECT count(*) FROM ({_PENDING})) AS missing FROM j""",
+        "task_items": f"WITH {_SEG} SELECT 'task_' || substr(sha256(page_url), 1, 10) AS task_id, (row_number() OVER (PARTITION BY page_url ORDER BY pos))::VARCHAR AS id, source_text AS text FROM ({_PENDING})",
+        "apply_upsert": f"WITH {_SEG} SELECT segment_id, reuse_key, translated_text, source_hash, CASE WHEN status = 'draft' THEN 'accepted' ELSE status END AS status, CASE WHEN status = 'draft' THEN '{NOW}' ELSE updated_at END AS updated_at FROM tr",
+        "ordered_ids": """WITH t AS (SELECT conv_id, turn AS pos, turn::VARCHAR AS id FROM conversations), f AS (SELECT conv_id, pos, CASE WHEN conv_id % 3 = 0 THEN '0' WHEN conv_id % 3 = 1 THEN id || 'x' ELSE id END AS id FROM t),
+            k AS (SELECT conv_id, id, count(*) AS n FROM f GROUP BY ALL), w AS (SELECT DISTINCT conv_id, id FROM t)
+            SELECT conv_id, id, 'id_duplicate' AS code FROM k WHERE n > 1 UNION ALL SELECT conv_id, id, 'id_unknown' FROM k ANTI JOIN w USING (conv_id, id) UNION ALL SELECT conv_id, id, 'id_missing' FROM w ANTI JOIN k USING (conv_id, id)
+            UNION ALL SELECT f.conv_id, f.id, 'id_out_of_order' FROM f JOIN t ON f.conv_id = t.conv_id AND f.pos = t.pos WHERE f.id <> t.id""",
+        "manifest_summary": "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, count(*) FILTER (WHERE o_orderstatus = 'O') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') AS applied, count(*) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('P', 'O', 'F')) AS invalid FROM orders",
+        "runtime_manifest": rf"WITH {_SEG}, v AS (SELECT page_url, lower(regexp_extract(norm, '^(\S+)', 1)) AS src, regexp_extract(norm, '(\S+)$', 1) AS dst FROM seg) SELECT page_url, src, min(dst) AS dst FROM v GROUP BY page_url, src HAVING min(dst) = max(dst)",
+        "progress_metrics": "SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS last_at FROM events GROUP BY user_id",
+        "issue_topk": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY value DESC NULLS LAST, event_id LIMIT 5",
+    }
