@@ -16,8 +16,8 @@ DIMS = 1 << 20
 #: Bytes of a word's beginning that are features of their own: inflected words share them.
 PREFIXES = (4, 5, 6)
 #: Bounds of the sample that is learnt from: confirmed positives, and texts without labels.
-MAX_POSITIVE = 4000
-MAX_UNLABELLED = 16000
+MAX_POSITIVE = 3000
+MAX_UNLABELLED = 8000
 THRESHOLD = 0.7
 #: Features that are kept by the screen.
 MAX_FEATURES = 1000
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     schema = f"__id {picked.schema['__id'].dataType.simpleString()}, positive boolean, found binary"
     rows = sorted((r["positive"], r["__id"], bytes(r["found"])) for r in picked.mapInArrow(encode, schema).toLocalIterator())
-    found = {side: [np.frombuffer(f, np.uint32).astype(np.int64) for p, _, f in rows if p is side] for side in (True, False)}
+    found = {side: [np.frombuffer(f, np.uint32) for p, _, f in rows if p is side] for side in (True, False)}
     return fit_pu(found[True], found[False], float(prior))
 
 
