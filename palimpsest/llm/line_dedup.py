@@ -35,7 +35,7 @@ def url_host(url: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """128 bits of a trimmed line; null if it is blank, so that blank lines always stay."""
-    trimmed = F.regexp_replace(line, _TRIM, "")
+    trimmed = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
     return F.when(trimmed != "", F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b")))
 
 
