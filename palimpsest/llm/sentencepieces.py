@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm._common import materialize
+
 SPACE_MARK = "▁"
 LONGEST = 16  # characters of the longest piece of the public model
 GIANT = 1 << 16  # characters above which a text is cut
@@ -218,11 +220,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return short.unionByName(long_rows).select(F.col("__id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
-    """(id, text) for each row of ids; null ids give null."""
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """(id, text) for each row of ids, and the ids too if they are to be kept; null ids give null."""
     held = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
     rows = encoded.select(F.col(id_col).alias("__id"), F.col(ids_col).alias("ids"))
     kind = rows.schema["__id"].dataType.simpleString()
+    names = ["__id", "text", "ids"] if keep_ids else ["__id", "text"]
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,15 +233,17 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
                 part = batch.slice(lo, 256)
                 plain = processors(held.value)[0]
                 texts = [None if i is None else plain.decode(i) if i else "" for i in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["__id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(1)][: len(names)], names)
 
-    return rows.mapInArrow(back, f"__id {kind}, text string").withColumnRenamed("__id", id_col)
+    schema = f"__id {kind}, text string" + (", ids array<int>" if keep_ids else "")
+    out = rows.mapInArrow(back, schema)
+    return out.select(F.col("__id").alias(id_col), "text", *([F.col("ids").alias(ids_col)] if keep_ids else []))
 
 
 def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the digest of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    encoded = encode(docs)
-    held = encoded.withColumn("__row", F.struct("doc_id", "n_tokens", "ids"))
-    decoded = decode(held, "__row")
-    return decoded.select("__row.doc_id", "__row.n_tokens", "__row.ids", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+    # written before it is decoded: a task then feeds one Python worker, and lost decoders don't encode again
+    encoded = materialize(encode(docs), "pieces")
+    decoded = decode(encoded, keep_ids=True)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
