@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import SPACE, skew_join
+from palimpsest.llm._common import SPACE, materialize, skew_join
 
 #: A line is boilerplate of a host if more than this share of the host's pages hold it, and at least so many.
 RATIO = 0.1
@@ -64,6 +64,7 @@ def line_dedup(docs: DataFrame, host: Column, text: Column, spread: Column, rati
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", url_host(F.col("url")).alias("host"), html_text(F.coalesce("html", F.lit(""))).alias("text"))
+    pages = materialize(pages, "page-text")  # cleaned once, for the counts and for the result
     out = line_dedup(pages, F.col("host"), F.col("text"), F.col("page_id"))
     return out.select("page_id", "host", F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"), F.array_join("__kept", "\n").alias("kept_text"))
 
