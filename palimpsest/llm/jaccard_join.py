@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +106,13 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= _PIECE or i == len(texts) - 1:
-            yield ids[lo : i + 1], texts[lo : i + 1]
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= _PIECE or i == len(sizes) - 1:
+            part = batch.slice(lo, i + 1 - lo)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
             lo, held = i + 1, 0
 
 
@@ -200,8 +202,8 @@ class JaccardJoin:
                     if nodes:
                         yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(sigs).view(np.int64)), "node": pa.array(np.concatenate(nodes))})
 
-        # the filter is what the join below would add on one side only, and keep the exchange from being shared
-        rows = self.rows.mapInArrow(make, "sig long, node long").where("sig IS NOT NULL").repartition(self.n, "sig")
+        # written, as Catalyst would compute the groups for each side of the join below
+        rows = materialize(self.rows.mapInArrow(make, "sig long, node long"), "signatures").where("sig IS NOT NULL").repartition(self.n, "sig")
         often = rows.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig")
         return materialize(rows.join(often, "sig", "left_semi").distinct(), "groups")
 
@@ -246,7 +248,7 @@ class JaccardJoin:
                     if out:
                         yield pa.RecordBatch.from_pydict({"node": pa.array([o[0] for o in out], pa.int64()), "tokens": pa.array([o[1] for o in out], pa.binary())})
 
-        sets = self.rows.mapInArrow(make, "node long, tokens binary").dropDuplicates(["node"])
+        sets = materialize(self.rows.mapInArrow(make, "node long, tokens binary").dropDuplicates(["node"]), "sets")  # both sides of the pairs read it
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
