@@ -69,8 +69,11 @@ def screen(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int =
 
     A linear model over all hashed words would learn single texts by heart.
     """
-    shares = [np.bincount(np.concatenate(rows), minlength=DIMS) for rows in (positive, unlabelled)]
-    a, b, n, m = *shares, len(positive), len(unlabelled)
+    a, b = np.zeros(DIMS, np.int32), np.zeros(DIMS, np.int32)
+    for total, rows in ((a, positive), (b, unlabelled)):
+        for r in rows:  # distinct within a text, so that each is counted once
+            total[r] += 1
+    n, m = len(positive), len(unlabelled)
     pooled = (a + b) / (n + m)
     z = (a / n - b / m) / np.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m) + 1e-12)
     best = np.argsort(-z, kind="stable")[:most]
