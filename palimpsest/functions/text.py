@@ -17,6 +17,11 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{WHITE}+", " "), "^ | $", "")
 
 
+def normalize_ends(text: Column) -> Column:
+    """Trimmed, white space inside left as it is."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
@@ -26,6 +31,21 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({PLACEHOLDER})"), 1)
 
 
+def without_placeholders(text: Column, instead: str = " ") -> Column:
+    return F.regexp_replace(text, PLACEHOLDER, instead)
+
+
+def heading_level(tag: Column) -> Column:
+    """1 to 6 for a heading's tag, else null."""
+    level = F.regexp_extract(tag, "^h([1-6])$", 1)
+    return F.when(level != "", level.cast("int"))
+
+
+def file_stamp(timestamp: Column) -> Column:
+    """A timestamp's text as part of a file name."""
+    return F.translate(timestamp, ":.", "--")
+
+
 def list_marker(text: Column) -> Column:
     return F.regexp_extract(text, f"({LIST_MARKER})", 1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import urls as U
@@ -43,3 +43,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
             break
         seen = seen.unionByName(front)
     return seen
+
+
+#: Fixed value: statuses after which a request is tried again.
+RETRYABLE = (408, 429, 500, 502, 503, 504)
+
+
+def retryable(status: Column) -> Column:
+    return status.isin(*RETRYABLE)
+
+
+def backoff_ms(attempt: Column, base: int = 500) -> Column:
+    """Milliseconds before the try after this one, doubled each time."""
+    return (F.lit(base) * F.pow(F.lit(2), attempt)).cast("int")
+
+
+def rewritten(links: DataFrame, link: str, manifest: DataFrame, base: str) -> DataFrame:
+    """``links`` with where each leads in the mirror, fragment kept; links to no page stay as they are."""
+    at = manifest.select(F.col("url").alias("__target"), F.col("output_path").alias("__path"))
+    joined = links.join(at, U.canonical(F.col(link)) == F.col("__target"), "left")
+    new = F.concat(U.public_path(F.col("__path"), base), U.fragment(F.col(link)))
+    return joined.withColumn("rewritten", F.coalesce(new, F.col(link))).drop("__target", "__path")

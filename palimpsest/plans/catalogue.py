@@ -7,9 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
-from palimpsest.operators import crawl, state, verify
+from palimpsest.operators import chunks, crawl, state, verify
 from palimpsest.session import table
 
 FLAGSHIP = "pending"
@@ -133,11 +134,77 @@ def _issue_topk(spark, d):
     return e.orderBy(F.col("value").desc_nulls_last(), "event_id").limit(5)
 
 
+def _asset_paths(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", U.asset_path(url).alias("asset_path"), U.cache_name(url, ".bin").alias("cache_name"), U.same_origin(url, F.concat(U.origin(url), F.lit("/x"))).alias("same"))
+
+
+def _link_rewrite(spark, d):
+    pages = table(spark, d, "pages")
+    outgoing = crawl.anchors(pages).join(pages.select("page_id", U.origin(F.col("url")).alias("o")), "page_id").select("page_id", F.concat("o", "href").alias("link"))
+    links = outgoing.unionByName(pages.select("page_id", F.col("url").alias("link"))).distinct()
+    return crawl.rewritten(links, "link", crawl.page_manifest(pages), "/mirror").select("page_id", "link", "rewritten")
+
+
+def _srcset(spark, d):
+    given = F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit(".png 1x,, /b.png  2x "))
+    return table(spark, d, "part").select("p_partkey", M.rewrite_srcset(given, lambda u: F.concat(F.lit("/mirror"), u)).alias("srcset"))
+
+
+def _css_urls(spark, d):
+    style = F.concat(F.lit("background: url('/i/"), F.col("p_partkey").cast("string"), F.lit(".png'), url( \"/j.png\" ), url(var(--x)), url(/k.png)"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(M.css_urls(style), "|").alias("urls"))
+
+
+def _code_spans(spark, d):
+    given = F.concat(F.lit("Use `"), F.col("p_brand"), F.lit("` with ``a`b`` now"))
+    found = table(spark, d, "part").select("p_partkey", M.code_spans(given).alias("c"))
+    return found.select("p_partkey", F.array_join("c.spans", "|").alias("spans"), F.array_join("c.texts", "|").alias("texts"), M.fence(F.col("c.spans")[1]).alias("fenced"))
+
+
+def _markup(spark, d):
+    given = F.concat(F.lit("**"), F.col("p_brand"), F.lit("** and [a](u) ![i](v) ~~x~~ __"), F.col("p_name"), F.lit("__"))
+    told = F.when(F.col("p_size") % 2 == 0, given).otherwise(F.replace(given, F.lit("~~"), F.lit("")))
+    return table(spark, d, "part").select("p_partkey", M.signature(given)["links"].alias("links"), M.signature(given)["images"].alias("images"), M.markup_mismatch(given, told).alias("mismatch"))
+
+
+def _json_repair(spark, d):
+    raw = F.concat(F.lit("<think>plan {</think>\n```json\n"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("Here: "), "props")), F.lit("\n```"))
+    return table(spark, d, "events").select("event_id", M.json_object(raw).alias("repaired"))
+
+
+GLOSSARY = (("and", "und"), ("the", "das"), ("a", "ein"))
+
+
+def _glossary(spark, d):
+    seg = segments(spark, d).select("segment_id", "source_text", F.concat(F.lit("neu "), "source_text").alias("target_text"))
+    return verify.glossary_issues(seg, "segment_id", "source_text", "target_text", GLOSSARY)
+
+
+def _status(spark, d):
+    counts = translations(spark, d).agg(F.count(F.lit(1)).alias("translations"), *[F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "stale", "draft")])
+    seg = segments(spark, d).agg(F.count(F.lit(1)).alias("segments"), F.count_distinct("page_url").alias("pages"))
+    return seg.crossJoin(counts)
+
+
+def _retries(spark, d):
+    status = F.element_at(F.array(*[F.lit(s) for s in (200, 404, 408, 429, 500, 501, 503, 504)]), (F.col("event_id") % 8 + 1).cast("int"))
+    tries = table(spark, d, "events").select("event_id", status.alias("status")).where(crawl.retryable(F.col("status")))
+    return tries.select("event_id", "status", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("attempt")).withColumn("delay_ms", crawl.backoff_ms(F.col("attempt")))
+
+
+def _chunk_plan(spark, d):
+    seg = segments(spark, d).select("page_url", "pos", T.utf16_length(T.normalize_ends(F.col("source_text"))).alias("chars"), F.when(F.length("norm") < 40, F.col("norm")).alias("heading"))
+    return chunks.chunk_plan(seg, "page_url", "pos", "chars", "heading", chunks.Limits(10, 600, 900))
+
+
 def queries() -> dict:
     return {
         "page_manifest": _page_manifest, "url_filter": _url_filter, "link_anchors": _anchors, "dangling_links": _dangling, "public_paths": _public_paths, "reachability": _reachability,
         "mark_stale": _mark_stale, "carry_forward": _carry_forward, "pending": _pending, "doctor": _doctor, "task_items": _task_items, "apply_upsert": _apply_upsert,
         "item_issues": _item_issues, "ordered_ids": _ordered_ids, "manifest_summary": _manifest_summary, "runtime_manifest": _runtime_manifest, "progress_metrics": _progress_metrics, "issue_topk": _issue_topk,
+        "asset_paths": _asset_paths, "link_rewrite": _link_rewrite, "srcset": _srcset, "css_urls": _css_urls, "code_spans": _code_spans, "markup": _markup, "json_repair": _json_repair,
+        "glossary": _glossary, "status": _status, "retries": _retries, "chunk_plan": _chunk_plan,
     }
 
 
@@ -191,4 +258,18 @@ def oracle_sql() -> dict[str, str]:
         "runtime_manifest": rf"WITH {_SEG}, v AS (SELECT page_url, lower(regexp_extract(norm, '^(\S+)', 1)) AS src, regexp_extract(norm, '(\S+)$', 1) AS dst FROM seg) SELECT page_url, src, min(dst) AS dst FROM v GROUP BY page_url, src HAVING min(dst) = max(dst)",
         "progress_metrics": "SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS last_at FROM events GROUP BY user_id",
         "issue_topk": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY value DESC NULLS LAST, event_id LIMIT 5",
+        "asset_paths": r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/+', '') AS s, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM pages),
+            w AS (SELECT *, CASE WHEN s = '' THEN 'assets/index' ELSE s END AS plain FROM u), x AS (SELECT *, regexp_extract(plain, '[^/](\.[^./]*)$', 1) AS ext FROM w)
+            SELECT page_id, substr(plain, 1, length(plain) - length(ext)) || CASE WHEN q = '' THEN '' ELSE '__q_' || substr(sha256(q), 1, 12) END || ext AS asset_path, sha256(url) || '.bin' AS cache_name, true AS same FROM x""",
+        "link_rewrite": rf"""WITH {_URL}, a AS (SELECT page_id, o, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS h FROM c), k AS (SELECT DISTINCT page_id, o || h AS link FROM a UNION SELECT page_id, url FROM pages),
+            kc AS (SELECT page_id, link, lower(regexp_extract(link, '^(https?://[^/?#]+)', 1)) || CASE WHEN regexp_replace(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') END || regexp_extract(link, '^[^?#]*(\?[^#]*)', 1) AS target FROM k)
+            SELECT kc.page_id, link, CASE WHEN man.url IS NULL THEN link ELSE '/mirror/' || regexp_replace(output_path, '(^|/)index\.html$', '\1') || regexp_extract(link, '(#.*)$', 1) END AS rewritten FROM kc LEFT JOIN man ON man.url = target""",
+        "srcset": "SELECT p_partkey, '/mirror/a/' || p_partkey || '.png 1x, /mirror/b.png 2x' AS srcset FROM part",
+        "css_urls": "SELECT p_partkey, '/i/' || p_partkey || '.png|/j.png|/k.png' AS urls FROM part",
+        "code_spans": "SELECT p_partkey, p_brand || '|a`b' AS spans, 'Use | with | now' AS texts, '``a`b``' AS fenced FROM part",
+        "markup": "SELECT p_partkey, 1 AS links, 1 AS images, p_size % 2 <> 0 AS mismatch FROM part",
+        "json_repair": "SELECT event_id, props AS repaired FROM events",
+        "glossary": f"WITH {_SEG}, g(source, target) AS (VALUES ('and', 'und'), ('the', 'das'), ('a', 'ein')) SELECT segment_id, source AS term, target FROM seg, g WHERE regexp_matches(source_text, '(?i)(?:^|[^A-Za-z0-9_])' || source || '(?:$|[^A-Za-z0-9_])') AND NOT regexp_matches('neu ' || source_text, '(?i)(?:^|[^A-Za-z0-9_])' || target || '(?:$|[^A-Za-z0-9_])')",
+        "status": f"WITH {_SEG} SELECT (SELECT count(*) FROM seg) AS segments, (SELECT count(DISTINCT page_url) FROM seg) AS pages, count(*) AS translations, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'draft') AS draft FROM tr",
+        "retries": "SELECT event_id, s AS status, attempt::INT AS attempt, 500 * (1 << attempt::INT) AS delay_ms FROM (SELECT event_id, [200, 404, 408, 429, 500, 501, 503, 504][event_id % 8 + 1] AS s FROM events), range(2) r(attempt) WHERE s IN (408, 429, 500, 502, 503, 504)",
     }

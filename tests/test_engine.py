@@ -4,10 +4,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
-from palimpsest.operators import state, verify
+from palimpsest.operators import chunks, state, verify
 from palimpsest.plans import catalogue
+from palimpsest.sources import jsonl
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,6 +61,32 @@ def test_conflicts_are_dropped(spark):
     assert [tuple(r) for r in state.conflict_free(rows, ["page", "src"], "dst").collect()] == [("p", "x", "c")]
 
 
+def test_code_spans():
+    assert M.split_code_spans("Use `snap-always` with `npm install`") == (["Use ", " with ", ""], ["snap-always", "npm install"])
+    assert M.split_code_spans("open `fence") is None and M.split_code_spans("") == ([""], [])
+
+
+@pytest.mark.parametrize(("items", "limits", "want"), [
+    ([(1, 7, "Install"), (2, 40, None), (3, 40, None), (4, 40, None)], (10, 80, 1000), [(1, 2, "Install"), (3, 4, "Install")]),
+    ([(1, 7, "Install"), (2, 9, None), (3, 9, None), (4, 6, "Deploy"), (5, 9, None), (6, 9, None)], (3, 1000, 2000), [(1, 3, "Install"), (4, 6, "Deploy")]),
+    ([(1, 7, "Install")], (10, 80, 1000), [(1, 1, None)]), ([(1, 90, None), (2, 1, None)], (10, 80, 1000), [(1, 1, None), (2, 2, None)]),
+])
+def test_chunk_plan(items, limits, want):
+    assert chunks.plan(items, chunks.Limits(*limits)) == want
+
+
+def test_json_embedding(spark):
+    assert one(spark, M.html_safe(F.lit("a<b>&"))) == "a" + "".join(chr(92) + f"u{ord(c):04x}" for c in "<") + "b" + "".join(chr(92) + f"u{ord(c):04x}" for c in ">&")
+    assert one(spark, M.json_object(F.lit("no json"))) is None
+
+
+def test_jsonl(spark, tmp_path):
+    schema = "a long, b string"
+    jsonl.write_jsonl(spark.createDataFrame([(1, "x"), (2, None)], schema), f"{tmp_path}/t")
+    assert sorted(map(tuple, jsonl.read_jsonl(spark, f"{tmp_path}/t", schema).collect())) == [(1, "x"), (2, None)]
+    assert jsonl.read_json(spark, f"{tmp_path}/none", schema).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_matches_oracle(spark, name):
     got = catalogue.queries()[name](spark, SF)
