@@ -31,6 +31,8 @@ DIMS, COARSE = 256, 32
 LEAF = 32
 #: Points of one tree; larger groups are dealt to pairs of tiles.
 TILE = 2000
+#: Smaller groups that a point in a tree brings along; see ``residual``.
+BEFORE = 256
 #: Bits of the filter of nodes whose sets are needed (its size is fixed: 1 MB).
 FILTER_BITS = 1 << 23
 _RATIO = 1.5  # of a size band's ends
@@ -265,21 +267,33 @@ class JaccardJoin:
         return materialize(two.mapInArrow(check, "a long, b long"), "links")
 
     def residual(self, groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs that share a group, lie in different components and pass the bound, by R-trees."""
+        """Pairs that share a group, lie in different components and pass the bound, by R-trees.
+
+        A pair is told in the smallest group that both share: each point brings along its BEFORE
+        smallest groups below the one it is in. What is told twice beyond these is made distinct.
+        """
         percent = self.percent
         parted = groups.join(comps, "node", "left").withColumn("part", F.coalesce("comp", "node")).drop("comp")
         open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
-        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes, "node")
+        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4)
+        held = rows.groupBy("node").agg(F.max("part").alias("part"), F.sort_array(F.collect_list(F.struct("sig", "tiles"))).alias("within"))  # a node's own groups
+        rows = held.join(nodes, "node").select("node", "part", "n", "point", F.slice("within.sig", 1, BEFORE).alias("least"), F.explode("within").alias("at"))
+        rows = rows.select("node", "part", "n", "point", "at.sig", "at.tiles", F.filter("least", lambda g: g < F.col("at.sig")).alias("before"))
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "point")
+        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "point", "before")
 
         def search(table: pa.Table) -> pa.Table:
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             nodes_, part, n, at = (table.column(c).to_numpy() for c in ("node", "part", "n", "tile"))
             points = points_in(table.column("point"))
             side = np.full(len(n), 2) if i == j else (at == j).astype(np.int64)
-            found = list(tree_pairs(points, n, part, side, percent))
+            before = [frozenset(g) for g in table.column("before").to_pylist()]
+            found = []
+            for x, y in tree_pairs(points, n, part, side, percent):
+                first = np.array([before[u].isdisjoint(before[v]) for u, v in zip(x, y, strict=True)])
+                if first.any():
+                    found.append((x[first], y[first]))
             a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             a, b = nodes_[a], nodes_[b]
             return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
