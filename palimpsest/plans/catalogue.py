@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
-from palimpsest.operators import chunks, crawl, state, verify
+from palimpsest.operators import chunks, crawl, site, state, verify
 from palimpsest.session import table
+from palimpsest.streaming import incremental
 
 FLAGSHIP = "pending"
 NOW = "2026-01-01T00:00:00.000Z"
@@ -198,6 +199,29 @@ def _chunk_plan(spark, d):
     return chunks.chunk_plan(seg, "page_url", "pos", "chars", "heading", chunks.Limits(10, 600, 900))
 
 
+def _html_segments(spark, d):
+    return site.segments(table(spark, d, "pages")).select("page_url", "ord", "segment_id", "reuse_key", "dom_path", "kind", "attribute_name", "normalized_text", "source_hash", "tag_name", "title")
+
+
+def _html_resources(spark, d):
+    return site.resources(table(spark, d, "pages"))
+
+
+def _html_units(spark, d):
+    return site.units(table(spark, d, "pages"))
+
+
+def _site_build(spark, d):
+    pages = table(spark, d, "pages").dropDuplicates(["url"])
+    told = F.when(F.col("ord") % 5 > 0, F.concat(F.lit("t:"), "normalized_text"))
+    built = site.build(pages, site.segments(pages).withColumn("translated_text", told), "xx")
+    return built.select("page_url", F.sha2("html", 256).alias("html_sha256"), "applied", "missing")
+
+
+def _run_progress(spark, d):
+    return incremental.progress(table(spark, d, "events"))
+
+
 def queries() -> dict:
     return {
         "page_manifest": _page_manifest, "url_filter": _url_filter, "link_anchors": _anchors, "dangling_links": _dangling, "public_paths": _public_paths, "reachability": _reachability,
@@ -205,6 +229,7 @@ def queries() -> dict:
         "item_issues": _item_issues, "ordered_ids": _ordered_ids, "manifest_summary": _manifest_summary, "runtime_manifest": _runtime_manifest, "progress_metrics": _progress_metrics, "issue_topk": _issue_topk,
         "asset_paths": _asset_paths, "link_rewrite": _link_rewrite, "srcset": _srcset, "css_urls": _css_urls, "code_spans": _code_spans, "markup": _markup, "json_repair": _json_repair,
         "glossary": _glossary, "status": _status, "retries": _retries, "chunk_plan": _chunk_plan,
+        "html_segments": _html_segments, "html_resources": _html_resources, "html_units": _html_units, "site_build": _site_build, "run_progress": _run_progress,
     }
 
 
@@ -257,6 +282,7 @@ def oracle_sql() -> dict[str, str]:
         "manifest_summary": "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, count(*) FILTER (WHERE o_orderstatus = 'O') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') AS applied, count(*) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('P', 'O', 'F')) AS invalid FROM orders",
         "runtime_manifest": rf"WITH {_SEG}, v AS (SELECT page_url, lower(regexp_extract(norm, '^(\S+)', 1)) AS src, regexp_extract(norm, '(\S+)$', 1) AS dst FROM seg) SELECT page_url, src, min(dst) AS dst FROM v GROUP BY page_url, src HAVING min(dst) = max(dst)",
         "progress_metrics": "SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS last_at FROM events GROUP BY user_id",
+        "run_progress": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS k FROM events) SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS last_at, min(event_type) FILTER (WHERE k = 1) AS last_kind FROM r GROUP BY user_id",
         "issue_topk": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY value DESC NULLS LAST, event_id LIMIT 5",
         "asset_paths": r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/+', '') AS s, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM pages),
             w AS (SELECT *, CASE WHEN s = '' THEN 'assets/index' ELSE s END AS plain FROM u), x AS (SELECT *, regexp_extract(plain, '[^/](\.[^./]*)$', 1) AS ext FROM w)
