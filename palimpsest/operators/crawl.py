@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +30,23 @@ def anchors(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(hrefs).alias("ord", "href"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth) of what the seeds reach over edges (src, dst), level by level.
 
     The frontier is checkpointed at each level, so plans stay short and lost executors don't
-    start the walk again. The walk ends with the first level that finds nothing new.
+    start the walk again; what was seen is checkpointed every few levels, so that a long chain
+    doesn't make a long union. The walk ends with the first level that finds nothing new.
     """
     seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = seen.checkpoint()
     return seen
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
-from palimpsest.operators import chunks, state, verify
+from palimpsest.llm._common import workdir
+from palimpsest.operators import chunks, crawl, state, verify
 from palimpsest.plans import catalogue
 from palimpsest.sources import jsonl
 
@@ -87,6 +88,13 @@ def test_jsonl(spark, tmp_path):
     assert jsonl.read_json(spark, f"{tmp_path}/none", schema).count() == 0
 
 
+def test_reachable_has_no_depth_limit(spark):
+    workdir(spark)
+    edges = spark.range(71).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(71, 0), (90, 91)], "src long, dst long"))
+    got = {r.node: r.depth for r in crawl.reachable(edges, spark.range(1).select(F.col("id").alias("node"))).collect()}
+    assert got == {i: i for i in range(72)}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_matches_oracle(spark, name):
     got = catalogue.queries()[name](spark, SF)
