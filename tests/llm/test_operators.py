@@ -160,6 +160,25 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(license_scan.as_files(empty), "doc_id", "path", "text").count() == 0
 
 
+def test_license_bodies_headers_and_tags(spark):
+    body = {n: t for n, t in license_scan.TEMPLATES if t.count("\n") > 5}
+    mark = lambda t, m: "\n".join(f"{m} {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    header = {n: t for n, t in license_scan.HEADERS}
+    own = "Copyright (c) 2026 Someone Else\n\n"
+    cases = [(f"{n}/LICENSE", own + t, n) for n, t in body.items()]
+    cases += [(f"src/{n}{k}.x", f"{m} tool: does a thing\n{m} Copyright 2020 Someone\n{m}\n{mark(t, m)}\nimport this\ncode = 1", n) for n, t in header.items() for k, m in enumerate(("#", " *"))]
+    cases += [("a.c", "/* SPDX-License-Identifier: Apache-2.0 */\nint x;", "Apache-2.0"), ("b.c", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0"), ("c.c", "// SPDX-License-Identifier: Unheard-Of-1.0", None)]
+    cases += [(f"t{k}.md", f"text\n\n{t}\n\nmore", n) for k, (n, t) in enumerate([("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("Apache-2.0", "Apache License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("GPL-1.0-or-later", "GNU GENERAL PUBLIC LICENSE")])]
+    rows = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.score) for r in license_scan.scan(rows, "doc_id", "path", "text").collect()}
+    assert {p: got[k] for k, (p, _, n) in enumerate(cases) if got[k][0] != n} == {}
+
+
+def test_license_files_of_any_length(spark):
+    rows = spark.createDataFrame([(1, "word\n" * 30 + "Released under the MIT License.", "en", "a"), (2, "plain", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert [r.path for r in license_scan.as_files(rows).orderBy("doc_id").collect()] == ["a/en/0/LICENSE", "a/en/0/2.txt"]
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0) for i in range(600)] + [(None, 1)], "doc_id long, toxic int")
     texts = spark.createDataFrame([(i, ("you idiot " if i % 3 == 0 else "dear friend ") + f"word{i % 7} and more text {i}") for i in range(600)], "doc_id long, text string")
