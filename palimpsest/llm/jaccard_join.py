@@ -38,6 +38,8 @@ FILTER_BITS = 1 << 23
 _RATIO = 1.5  # of a size band's ends
 _PLAIN = 64  # up to this size every shingle is a group of its own
 _PIECE = 1 << 20
+#: Sets of one side when all pairs of a component are counted, and columns of a dense piece of them.
+SIDE, COLUMNS = 256, 4096
 
 
 def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -174,6 +176,7 @@ class JaccardJoin:
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.spark, self.words, self.percent, self.id_col = docs.sparkSession, words, percent, id_col
         self.n = partitions(self.spark)
+        self.held: list[DataFrame] = []  # sets written by ``verified``: all nodes of links are among them
 
     def profiles(self) -> DataFrame:
         words = self.words
@@ -225,11 +228,11 @@ class JaccardJoin:
 
         return joined.mapInArrow(prune, "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their sets. Only sets of nodes in a pair are shuffled."""
-        words, percent = self.words, self.percent
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens) of at least these nodes; only their sets are shuffled."""
+        words = self.words
         slot = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(slot.alias("s"))
+        wanted = nodes.select(slot.alias("s"))
         bits = wanted.select(F.floor(F.col("s") / 32768).alias("k"), F.pmod(F.col("s"), F.lit(32768)).alias("at"))
         maps = bits.groupBy("k").agg(F.expr("bitmap_construct_agg(at)").alias("m")).collect()  # at most 256 rows of 4 KB
         flags = np.zeros(FILTER_BITS, bool)
@@ -250,7 +253,13 @@ class JaccardJoin:
                     if out:
                         yield pa.RecordBatch.from_pydict({"node": pa.array([o[0] for o in out], pa.int64()), "tokens": pa.array([o[1] for o in out], pa.binary())})
 
-        sets = materialize(self.rows.mapInArrow(make, "node long, tokens binary").dropDuplicates(["node"]), "sets")  # both sides of the pairs read it
+        return materialize(self.rows.mapInArrow(make, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their sets."""
+        percent = self.percent
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))  # both sides of the pairs read it
+        self.held.append(sets)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -300,8 +309,67 @@ class JaccardJoin:
 
         return rows.groupBy("sig", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
-    def run(self) -> DataFrame:
-        """(id, n_shingles, node, component_id) for each row."""
+    def members(self, profiles: DataFrame, comps: DataFrame) -> DataFrame:
+        """(node, comp, times, k): the nodes of links, their rows, and the nodes of their component."""
+        times = profiles.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
+        sized = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
+        return materialize(skew_join(comps.join(times, "node"), sized, ["comp"], F.col("node"), "inner", 4), "members")
+
+    def within(self, members: DataFrame, pairs: bool) -> DataFrame:
+        """Every link of components of three nodes or more: (a, b), or (node, near), the rows that link with a node's.
+
+        All links lie within components. Each two tiles of a component meet in one task, which
+        counts the overlap of all their sets exactly; so each pair is looked at once.
+        """
+        percent = self.percent
+        rows = members.where("k > 2")
+        seen = self.held[0]
+        for sets in self.held[1:]:
+            seen = seen.unionByName(sets.join(seen.select("node"), "node", "left_anti"))
+        rows = rows.join(seen, "node").withColumn("tiles", F.ceil(F.col("k") / SIDE).cast("int"))
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.select("comp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "times", "tokens")
+
+        def count(table: pa.Table) -> pa.Table:
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            tile, node, times = (table.column(c).to_numpy() for c in ("tile", "node", "times"))
+            sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+            left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+            first = [sets[x] for x in left]
+            link = linked(first, first if i == j else [sets[x] for x in right], percent)
+            if i == j:
+                link &= node[left][:, None] < node[right][None]
+            x, y = np.nonzero(link)
+            if pairs:
+                a, b = node[left[x]], node[right[y]]
+                return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            near = np.zeros(len(node), np.int64)
+            near[left] += link @ times[right]
+            near[right] += times[left] @ link
+            return pa.table({"node": pa.array(node, pa.int64()), "near": pa.array(near, pa.int64())})
+
+        return rows.groupBy("comp", "i", "j").applyInArrow(count, "a long, b long" if pairs else "node long, near long")
+
+    def links(self) -> DataFrame:
+        """(a, b), a < b: every two nodes that link, within components too. Rows of one node link as well.
+
+        It has as many rows as there are links: k * (k - 1) / 2 for k different near copies.
+        """
+        profiles, comps = self.parts()
+        members = self.members(profiles, comps)
+        two = members.where("k = 2").groupBy("comp").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+        return two.unionByName(self.within(members, pairs=True))
+
+    def link_counts(self, profiles: DataFrame, comps: DataFrame) -> DataFrame:
+        """(node, near): the rows of other nodes that link with a node of a component."""
+        members = self.members(profiles, comps)
+        both = members.where("k = 2").groupBy("comp").agg(F.sum("times").alias("all"))
+        two = members.where("k = 2").join(both, "comp").select("node", (F.col("all") - F.col("times")).alias("near"))
+        return two.unionByName(self.within(members, pairs=False)).groupBy("node").agg(F.sum("near").alias("near"))
+
+    def parts(self) -> tuple[DataFrame, DataFrame]:
+        """The rows' profiles, and (node, comp) of each node that links."""
+        self.held = []
         profiles = self.profiles()
         nodes = profiles.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("point").alias("point"))
         nodes = materialize(nodes, "nodes")
@@ -314,10 +382,41 @@ class JaccardJoin:
         more = materialize(self.residual(groups, comps, nodes).join(tried, ["a", "b"], "left_anti"), "residual")
         if not more.isEmpty():
             comps = components(links.unionByName(self.verified(more)))
+        return profiles, comps
+
+    def run(self, count_links: bool = False) -> DataFrame:
+        """(id, n_shingles, node, component_id) for each row; n_links, the other rows that it links with, if asked for."""
+        profiles, comps = self.parts()
+        if count_links:
+            same = profiles.where("n > 0").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("same"))
+            near = same.join(self.link_counts(profiles, comps), "node", "left").select("node", (F.col("same") + F.coalesce("near", F.lit(0))).alias("n_links"))
         named = skew_join(profiles, comps, ["node"], F.col("id"), "left", 4).withColumn("comp", F.coalesce("comp", "node"))
         names = named.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"))
         out = skew_join(named, names, ["comp"], F.col("id"), "left", 4)
-        return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        if count_links:
+            out = skew_join(out, near, ["node"], F.col("id"), "left", 4)
+        counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+        return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *counts)
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set on the left links with each on the right."""
+    sides = left if right is left else [*left, *right]
+    tokens, owner = np.concatenate(sides), np.repeat(np.arange(len(sides)), [len(s) for s in sides])
+    _, column, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = often > 1  # a token of one set alone is in no overlap
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        dense = np.zeros((len(sides), COLUMNS), np.float32)
+        dense[owner[part], column[part] - lo] = 1
+        both += (dense[: len(left)] @ dense[len(sides) - len(right) :].T).astype(np.int64)
+    na, nb = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    return 100 * both >= percent * (na[:, None] + nb[None] - both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,5 +442,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_shingles", "component_id")
+    out = JaccardJoin(spark.read.parquet(f"{sf_dir}/documents.parquet")).run(count_links=True)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")

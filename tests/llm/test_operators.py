@@ -76,6 +76,25 @@ def test_jaccard_join(docs, empty, size, percent):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_within_components(spark, empty, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SIDE", 4)  # of the driver; functions are sent with what they name
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{k}" if i in (9 * k, 9 * k + 60) and k else w for i, w in enumerate(base)) for k in range(12)]
+    texts += [texts[3], " ".join(f"y{i}" for i in range(50)), " ".join(f"y{i}" for i in range(51)), "alone", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for w in map(words, texts)]
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 90 * len(a | b)
+    join = jaccard_join.JaccardJoin(rows)
+    got = {r.doc_id: r for r in join.run(count_links=True).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(near(s, t) for j, t in enumerate(sets) if i != j) for i, s in enumerate(sets)}
+    node = {i: r.node for i, r in got.items()}
+    want = {tuple(sorted((node[i], node[j]))) for i in node for j in node if node[i] != node[j] and near(sets[i], sets[j])}
+    pairs = [(r.a, r.b) for r in join.links().collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    assert any(got[i].component_id == got[j].component_id and not near(sets[i], sets[j]) for i in range(12) for j in range(12))
+    assert jaccard_join.JaccardJoin(empty).links().count() == 0 and jaccard_join.JaccardJoin(empty).run(count_links=True).count() == 0
+
+
 def test_tree_bound_loses_nothing():
     import numpy as np
 
