@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 16
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: dict[int, tuple[DataFrame, str]] = {}
 
 
 def _drop_written() -> None:
@@ -36,13 +40,19 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    A machine-local folder serves only a local session in which it is unset, as in tests; on a
+    cluster executors wouldn't see one, so there it is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="palimpsest-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -57,7 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{workdir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = (out, path)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing will read them any more."""
+    for frame in frames:
+        spark, path = frame.sparkSession, _path_of.pop(id(frame))[1]
+        _written.remove((spark, path))
+        drop(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,3 +95,42 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column
     salt = "__salt"
     spread_out = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(right.withColumn(salt, spread_out), [*keys, salt], how).drop(salt)
+
+
+def stream_groups(rows: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``work`` on whole groups of ``keys``, many in a call, in the order of the keys.
+
+    Each call gets a table of complete groups, about as many rows as one Arrow batch. What a
+    task holds is a batch and the group at its end, so small groups cost no call of their own.
+    """
+    places = [rows.columns.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(p) for p in places]
+            end = tuple(c[-1].as_py() for c in cols)
+            cut = batch.num_rows  # where the batch's last group begins
+            lo, hi = 0, batch.num_rows - 1
+            while lo < hi:  # keys are in order, so the last group is a suffix
+                mid = (lo + hi) // 2
+                if tuple(c[mid].as_py() for c in cols) == end:
+                    hi = mid
+                else:
+                    lo = mid + 1
+            cut = lo
+            if last is not None and (cut or end != last):
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif last is None and cut:
+                yield from work(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+            last = end
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)

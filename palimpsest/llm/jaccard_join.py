@@ -6,15 +6,14 @@ their sets from above. Points are packed into R-trees whose boxes give the same
 branches, and the surviving pairs are verified on the sets themselves.
 
 One tree over a corpus can neither be distributed nor prune much: the radius of a 0.9 search is
-wider than the spread of any single coordinate. So a finer grouping of the same kind decides which
-points meet in a tree. Sets within a size band are hashed into groups of which more are filled
-than two linked sets can differ in, so the first group that the difference leaves alone is equal
-in both, and lies among the first D + 1 filled groups of either. A tree is built for each equal group.
+wider than the spread of any single coordinate. So shared tokens decide which points meet in a
+tree. Whatever the order of all tokens, two sets that link share one of the first
+n - ceil(n * percent / 100) + 1 tokens of either. The order taken puts tokens that few documents
+hold first, so a passage that very many documents share brings none of them together.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +22,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import materialize, partitions, skew_join
-from palimpsest.llm._words import LOWER, Batch, mix64, runs
+from palimpsest.llm._common import materialize, partitions, release, skew_join, stream_groups
+from palimpsest.llm._words import LOWER, Batch, mix64, pack_planes, runs, unpack_planes
 
 #: Coordinates of a point, and of the coarse sums of them that the trees are built on.
 DIMS, COARSE = 256, 32
 LEAF = 32
 #: Points of one tree; larger groups are dealt to pairs of tiles.
 TILE = 2000
-#: Smaller groups that a point in a tree brings along; see ``residual``.
-BEFORE = 256
-#: Bits of the filter of nodes whose sets are needed (its size is fixed: 1 MB).
-FILTER_BITS = 1 << 23
-_RATIO = 1.5  # of a size band's ends
-_PLAIN = 64  # up to this size every shingle is a group of its own
+#: Counters of the tokens' order, in pieces that are summed apart. Tokens that share one are ordered by their hash.
+COUNTERS, COUNTER_PIECES = 1 << 20, 64
+#: Least and greatest number of bits of the filter of nodes whose sets are needed: 1 to 32 MB.
+FILTER_BITS = (1 << 23, 1 << 28)
 _PIECE = 1 << 20
+_ROWS = 1 << 14
 #: Sets of one side when all pairs of a component are counted, and columns of a dense piece of them.
 SIDE, COLUMNS = 256, 4096
 
@@ -47,17 +45,15 @@ def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
     batch = Batch(texts, LOWER)
     hashes = batch.hashes()[0]
     at, keys = batch.windows(hashes, words)
-    owner = batch.owner(at) if len(at) else at
-    short = [i for i, c in enumerate(batch.counts) if 0 < c < words]
-    if short:
-        extra = np.array([_sequence(hashes[batch.offsets[i] : batch.offsets[i + 1]]) for i in short], np.uint64)
-        owner, keys = np.concatenate([owner, short]), np.concatenate([keys, extra])
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    keep = np.ones(len(keys), bool)
-    keep[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    owner, keys = owner[keep], keys[keep]
-    return np.split(keys, np.searchsorted(owner, np.arange(1, len(texts))))
+    bounds = np.searchsorted(at, batch.offsets)
+    out = []
+    for i, count in enumerate(batch.counts.tolist()):
+        if count >= words:
+            own = np.sort(keys[bounds[i] : bounds[i + 1]])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        else:
+            out.append(np.array([_sequence(hashes[batch.offsets[i] : batch.offsets[i + 1]])] if count else [], np.uint64))
+    return out
 
 
 def _sequence(hashes: np.ndarray) -> np.uint64:
@@ -84,29 +80,29 @@ def points_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, DIMS)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the first filled groups of the set, for each size band that it may link within."""
-    n, out = len(s), []
-    if not n:
-        return np.zeros(0, np.uint64)
-    top = int(math.log(n) / math.log(_RATIO)) + 3
-    for band in range(max(0, top - 6), top + 1):
-        lower, upper = math.ceil(_RATIO**band), math.ceil(_RATIO ** (band + 1)) - 1
-        if lower > upper or not (percent * lower <= 100 * n and n <= upper):
-            continue
-        apart = 2 * upper * (100 - percent) // (100 + percent)
-        tag = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        if upper <= _PLAIN:
-            out.append(mix64(np.sort(mix64(s))[: apart + 1] ^ tag))
-            continue
-        groups = math.ceil(1.3 * (apart + 1)) + 8
-        group = mix64(s ^ tag) % np.uint64(groups)
-        order = np.argsort(group, kind="stable")
-        begin = runs(group[order])
-        content = np.add.reduceat(mix64(s[order]), begin)
-        first = slice(0, apart + 1)
-        out.append(mix64(content[first] ^ mix64(group[order][begin][first] + tag)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def prefixes(sets: list[np.ndarray], level: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Of each set, the first tokens in the common order: one of them is in any set it links with.
+
+    The order is by the level of the token's counter, then by 32 bits of its hash; tokens equal
+    in both are all taken. ``sets`` are at most 2^16.
+    """
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint64), [len(s) for s in sets])
+    place = (owner << np.uint64(48)) | (level[counter_of(tokens)].astype(np.uint64) << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
+    order = np.argsort(place, kind="stable")
+    place, tokens = place[order], tokens[order]
+    out, at = [], 0
+    for s in sets:
+        n = len(s)
+        upto = at + n - (-(-percent * n // 100)) + 1 if n else at
+        if n:
+            upto = at + int(np.searchsorted(place[at : at + n], place[upto - 1], "right"))
+        out.append(tokens[at:upto])
+        at += n
+    return out
+
+
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(44)).astype(np.int64) % COUNTERS
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
@@ -114,7 +110,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
     lo = held = 0
     for i, size in enumerate(sizes.tolist()):
         held += size
-        if held >= _PIECE or i == len(sizes) - 1:
+        if held >= _PIECE or i == len(sizes) - 1 or i + 1 - lo == _ROWS:
             part = batch.slice(lo, i + 1 - lo)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
             lo, held = i + 1, 0
@@ -176,67 +172,130 @@ class JaccardJoin:
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.spark, self.words, self.percent, self.id_col = docs.sparkSession, words, percent, id_col
         self.n = partitions(self.spark)
-        self.held: list[DataFrame] = []  # sets written by ``verified``: all nodes of links are among them
+        self.temporary: list[DataFrame] = []
 
-    def profiles(self) -> DataFrame:
-        words = self.words
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        self.temporary.append(out)
+        return out
+
+    def _drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            self.temporary = [t for t in self.temporary if t is not frame]
+        release(*frames)
+
+    def close(self) -> None:
+        """Delete the join's tables; what it returned and isn't written can't be read afterwards."""
+        self._drop(*self.temporary)
+
+    def profiles(self) -> tuple[DataFrame, np.ndarray]:
+        """(id, n, node) of each row, and the level of each counter in the tokens' order.
+
+        Levels are ranks of the number of documents that hold a token of the counter; a document
+        that comes again in a task is counted once. Counts are summed piece by piece; 64 rows of
+        fixed size come to the driver.
+        """
+        words, size = self.words, COUNTERS // COUNTER_PIECES
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, seen = np.zeros(COUNTERS, np.int64), set()
             for batch in batches:
                 for ids, texts in _pieces(batch):
                     sets = sets_of(texts, words)
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) for s in sets], pa.int64()), "point": pa.array([point_of(s).tobytes() for s in sets], pa.binary())})
-
-        return materialize(self.rows.mapInArrow(make, "id long, n long, node long, point binary"), "profiles")
-
-    def shared_groups(self) -> DataFrame:
-        """(sig, node): the groups that two nodes hold alike. The one large exchange of the join."""
-        words, percent = self.words, self.percent
+                    nodes = [node_of(s) for s in sets]
+                    fresh = []
+                    for s, node in zip(sets, nodes, strict=True):
+                        if len(s) and node not in seen:
+                            seen.add(node)
+                            fresh.append(s)
+                    if fresh:
+                        counts += np.bincount(counter_of(np.concatenate(fresh)), minlength=COUNTERS)
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "piece": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
+            if seen:
+                for k in range(COUNTER_PIECES):
+                    yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "node": pa.nulls(1, pa.int64()), "piece": pa.array([k], pa.int32()), "counts": pa.array([pack_planes(counts[k * size : (k + 1) * size])], pa.binary())})
+
+        table = self._write(self.rows.mapInArrow(make, "id long, n long, node long, piece int, counts binary"), "profiles")
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total[k] = total.get(k, 0) + unpack_planes(packed)
+            for k, sums in total.items():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([pack_planes(sums)], pa.binary())})
+
+        pieces = table.where("piece IS NOT NULL").select("piece", "counts").repartition(COUNTER_PIECES, "piece").mapInArrow(add, "piece int, counts binary").collect()
+        counts = np.zeros(COUNTERS, np.int64)
+        for r in pieces:
+            counts[r["piece"] * size : (r["piece"] + 1) * size] = unpack_planes(r["counts"])
+        known, rank = np.unique(counts, return_inverse=True)
+        level = (rank * min(1.0, 65535 / max(1, len(known) - 1))).astype(np.uint16)
+        return table.where("piece IS NULL").select("id", "n", "node"), level
+
+    def shared_groups(self, level: np.ndarray) -> DataFrame:
+        """(sig, node, hub): the prefix tokens that several nodes share, with the least of them. The one large exchange of the join."""
+        words, percent, held = self.words, self.percent, self.spark.sparkContext.broadcast(level)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()  # a node that comes again in the task adds nothing
             for batch in batches:
                 for _, texts in _pieces(batch):
-                    nodes, sigs = [], []
+                    fresh, nodes = [], []
                     for s in sets_of(texts, words):
                         node = node_of(s)
                         if len(s) and node not in seen:
                             seen.add(node)
-                            sigs.append(signatures(s, percent))
-                            nodes.append(np.full(len(sigs[-1]), node))
-                    if nodes:
-                        yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(sigs).view(np.int64)), "node": pa.array(np.concatenate(nodes))})
-
-        # written, as Catalyst would compute the groups for each side of the join below
-        rows = materialize(self.rows.mapInArrow(make, "sig long, node long"), "signatures").where("sig IS NOT NULL").repartition(self.n, "sig")
-        often = rows.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("sig")
-        return materialize(rows.join(often, "sig", "left_semi").distinct(), "groups")
-
-    def surviving(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs whose count vectors allow a link."""
-        percent = self.percent
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}"))
-        joined = skew_join(skew_join(pairs, side("a"), ["a"], F.col("b"), "inner", 4), side("b"), ["b"], F.col("a"), "inner", 4)
-
-        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                            fresh.append(s)
+                            nodes.append(node)
+                    if fresh:
+                        sigs = prefixes(fresh, held.value, percent)
+                        yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(sigs).view(np.int64)), "node": pa.array(np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs]))})
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sig = node = hub = None  # the last row, and the least node of its token
+            told = False  # whether that row went out
             for batch in batches:
-                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                pa_, pb = points_in(col("p_a")), points_in(col("p_b"))
-                na, nb = (col(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-                keep = pa.array(_bound(pa_, pb) >= _needed(na, nb, percent))
-                yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(keep)
-
-        return joined.mapInArrow(prune, "a long, b long")
+                s, v = (batch.column(k).to_numpy() for k in (0, 1))
+                if not len(s):
+                    continue
+                first = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))
+                s, v = s[first], v[first]
+                if sig is not None:
+                    if s[0] == sig and v[0] == node:
+                        s, v = s[1:], v[1:]
+                    s, v = np.concatenate(([sig], s)), np.concatenate(([node], v))
+                begin = runs(s)
+                size = np.diff(np.append(begin, len(s)))
+                least = v[begin]
+                open_ = size > 1
+                if sig is not None:
+                    least[0], open_[0] = hub, open_[0] or told
+                out, least = np.repeat(open_, size), np.repeat(least, size)
+                if sig is not None and told:
+                    out[0] = False
+                sig, node, hub, told = s[-1], v[-1], least[-1], bool(open_[-1])
+                if out.any():
+                    yield pa.RecordBatch.from_pydict({"sig": pa.array(s[out]), "node": pa.array(v[out]), "hub": pa.array(least[out])})
+
+        rows = self.rows.mapInArrow(make, "sig long, node long").repartition(self.n, "sig").sortWithinPartitions("sig", "node")
+        return self._write(rows.mapInArrow(meet, "sig long, node long, hub long"), "groups")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, tokens) of at least these nodes; only their sets are shuffled."""
+        """(node, n, point, tokens) of at least these nodes, once each; only their sets are shuffled.
+
+        Which they are travels as a filter of about 16 bits a node, up to a fixed size; beyond it
+        more sets are written than needed, which changes no result.
+        """
         words = self.words
-        slot = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-        wanted = nodes.select(slot.alias("s"))
-        bits = wanted.select(F.floor(F.col("s") / 32768).alias("k"), F.pmod(F.col("s"), F.lit(32768)).alias("at"))
-        maps = bits.groupBy("k").agg(F.expr("bitmap_construct_agg(at)").alias("m")).collect()  # at most 256 rows of 4 KB
-        flags = np.zeros(FILTER_BITS, bool)
-        for r in maps:
+        wanted = nodes.distinct()
+        bits = FILTER_BITS[0]
+        many = wanted.count()
+        while bits < FILTER_BITS[1] and bits < 16 * many:
+            bits *= 2
+        slots = wanted.select(F.pmod(F.col("node"), F.lit(bits)).alias("s")).select(F.floor(F.col("s") / 32768).alias("k"), F.pmod(F.col("s"), F.lit(32768)).alias("at"))
+        flags = np.zeros(bits, bool)
+        for r in slots.groupBy("k").agg(F.expr("bitmap_construct_agg(at)").alias("m")).toLocalIterator():  # rows of 4 KB, 32 MB at most
             flags[r["k"] * 32768 : (r["k"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
         held = self.spark.sparkContext.broadcast(np.packbits(flags))
 
@@ -247,19 +306,27 @@ class JaccardJoin:
                     out = []
                     for s in sets_of(texts, words):
                         node = node_of(s)
-                        if len(s) and want[node % FILTER_BITS] and node not in seen:
+                        if len(s) and want[node % bits] and node not in seen:
                             seen.add(node)
-                            out.append((node, s.tobytes()))
+                            out.append((node, s))
                     if out:
-                        yield pa.RecordBatch.from_pydict({"node": pa.array([o[0] for o in out], pa.int64()), "tokens": pa.array([o[1] for o in out], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"node": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([len(o[1]) for o in out], pa.int64()), "point": pa.array([point_of(o[1]).tobytes() for o in out], pa.binary()), "tokens": pa.array([o[1].tobytes() for o in out], pa.binary())})
 
-        return materialize(self.rows.mapInArrow(make, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+        return self._write(self.rows.mapInArrow(make, "node long, n long, point binary, tokens binary").dropDuplicates(["node"]), "sets")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their sets."""
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that link, by the bound of their count vectors and then by their sets."""
         percent = self.percent
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))  # both sides of the pairs read it
-        self.held.append(sets)
+        side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b")
+
+        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+                pa_, pb = points_in(col("p_a")), points_in(col("p_b"))
+                na, nb = (col(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+                keep = pa.array(_bound(pa_, pb) >= _needed(na, nb, percent))
+                yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(keep)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -271,49 +338,42 @@ class JaccardJoin:
                     keep.append(100 * both >= percent * (len(s) + len(t) - both))
                 yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
+        left = near.mapInArrow(prune, "a long, b long")
+        one = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
-        return materialize(two.mapInArrow(check, "a long, b long"), "links")
+        return self._write(two.mapInArrow(check, "a long, b long"), "links")
 
-    def residual(self, groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs that share a group, lie in different components and pass the bound, by R-trees.
-
-        A pair is told in the smallest group that both share: each point brings along its BEFORE
-        smallest groups below the one it is in. What is told twice beyond these is made distinct.
-        """
+    def residual(self, groups: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs that share a prefix token, lie in different components and pass the bound, by R-trees."""
         percent = self.percent
-        parted = groups.join(comps, "node", "left").withColumn("part", F.coalesce("comp", "node")).drop("comp")
+        parted = skew_join(groups.select("sig", "node"), comps, ["node"], F.col("sig"), "left", 4).select("sig", "node", F.coalesce("comp", "node").alias("part"))
+        parted = self.parted = self._write(parted, "parted")
         open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
-        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4)
-        held = rows.groupBy("node").agg(F.max("part").alias("part"), F.sort_array(F.collect_list(F.struct("sig", "tiles"))).alias("within"))  # a node's own groups
-        rows = held.join(nodes, "node").select("node", "part", "n", "point", F.slice("within.sig", 1, BEFORE).alias("least"), F.explode("within").alias("at"))
-        rows = rows.select("node", "part", "n", "point", "at.sig", "at.tiles", F.filter("least", lambda g: g < F.col("at.sig")).alias("before"))
+        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(sets.select("node", "n", "point"), "node")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "point", "before")
+        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "point")
 
-        def search(table: pa.Table) -> pa.Table:
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            nodes_, part, n, at = (table.column(c).to_numpy() for c in ("node", "part", "n", "tile"))
+        def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            sig, i, j, at, node, part, n = (table.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "part", "n"))
             points = points_in(table.column("point"))
-            side = np.full(len(n), 2) if i == j else (at == j).astype(np.int64)
-            before = [frozenset(g) for g in table.column("before").to_pylist()]
-            found = []
-            for x, y in tree_pairs(points, n, part, side, percent):
-                first = np.array([before[u].isdisjoint(before[v]) for u, v in zip(x, y, strict=True)])
-                if first.any():
-                    found.append((x[first], y[first]))
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            a, b = nodes_[a], nodes_[b]
-            return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-        return rows.groupBy("sig", "i", "j").applyInArrow(search, "a long, b long").distinct()
+            begin = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            end = np.append(begin[1:], len(sig))
+            side = np.where(i == j, 2, at == j)
+            for x, y in _leaf_pairs(begin, end, points, n, part, side, percent):
+                yield _pairs(node[x], node[y])
+            for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
+                if hi - lo > LEAF:
+                    for x, y in tree_pairs(points[lo:hi], n[lo:hi], part[lo:hi], side[lo:hi], percent):
+                        yield _pairs(node[lo:hi][x], node[lo:hi][y])
+
+        return stream_groups(rows, ["sig", "i", "j"], "a long, b long", search).distinct()
 
     def members(self, profiles: DataFrame, comps: DataFrame) -> DataFrame:
         """(node, comp, times, k): the nodes of links, their rows, and the nodes of their component."""
         times = profiles.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
         sized = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
-        return materialize(skew_join(comps.join(times, "node"), sized, ["comp"], F.col("node"), "inner", 4), "members")
+        return self._write(skew_join(comps.join(times, "node"), sized, ["comp"], F.col("node"), "inner", 4), "members")
 
     def within(self, members: DataFrame, pairs: bool) -> DataFrame:
         """Every link of components of three nodes or more: (a, b), or (node, near), the rows that link with a node's.
@@ -322,33 +382,31 @@ class JaccardJoin:
         counts the overlap of all their sets exactly; so each pair is looked at once.
         """
         percent = self.percent
-        rows = members.where("k > 2")
-        seen = self.held[0]
-        for sets in self.held[1:]:
-            seen = seen.unionByName(sets.join(seen.select("node"), "node", "left_anti"))
-        rows = rows.join(seen, "node").withColumn("tiles", F.ceil(F.col("k") / SIDE).cast("int"))
+        rows = members.where("k > 2").join(self.held.select("node", "tokens"), "node").withColumn("tiles", F.ceil(F.col("k") / SIDE).cast("int"))
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("comp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "times", "tokens")
 
-        def count(table: pa.Table) -> pa.Table:
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            tile, node, times = (table.column(c).to_numpy() for c in ("tile", "node", "times"))
-            sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-            left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-            first = [sets[x] for x in left]
-            link = linked(first, first if i == j else [sets[x] for x in right], percent)
-            if i == j:
-                link &= node[left][:, None] < node[right][None]
-            x, y = np.nonzero(link)
-            if pairs:
-                a, b = node[left[x]], node[right[y]]
-                return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            comp, i, j, tile, node, times = (table.column(c).to_numpy() for c in ("comp", "i", "j", "tile", "node", "times"))
+            begin = np.flatnonzero(np.concatenate(([True], (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            tokens = table.column("tokens").combine_chunks()
             near = np.zeros(len(node), np.int64)
-            near[left] += link @ times[right]
-            near[right] += times[left] @ link
-            return pa.table({"node": pa.array(node, pa.int64()), "near": pa.array(near, pa.int64())})
-
-        return rows.groupBy("comp", "i", "j").applyInArrow(count, "a long, b long" if pairs else "node long, near long")
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(node)], strict=True):
+                sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens[lo:hi]]
+                left, right = np.flatnonzero(tile[lo:hi] == i[lo]), np.flatnonzero(tile[lo:hi] == j[lo])
+                first = [sets[x] for x in left]
+                link = linked(first, first if i[lo] == j[lo] else [sets[x] for x in right], percent)
+                if i[lo] == j[lo]:
+                    link &= node[lo:hi][left][:, None] < node[lo:hi][right][None]
+                x, y = np.nonzero(link)
+                if pairs:
+                    yield _pairs(node[lo:hi][left[x]], node[lo:hi][right[y]])
+                near[lo + left] += link @ times[lo:hi][right]
+                near[lo + right] += times[lo:hi][left] @ link
+            if not pairs:
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "near": pa.array(near, pa.int64())})
+
+        return stream_groups(rows, ["comp", "i", "j"], "a long, b long" if pairs else "node long, near long", count)
 
     def links(self) -> DataFrame:
         """(a, b), a < b: every two nodes that link, within components too. Rows of one node link as well.
@@ -369,34 +427,66 @@ class JaccardJoin:
 
     def parts(self) -> tuple[DataFrame, DataFrame]:
         """The rows' profiles, and (node, comp) of each node that links."""
-        self.held = []
-        profiles = self.profiles()
-        nodes = profiles.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("point").alias("point"))
-        nodes = materialize(nodes, "nodes")
-        groups = self.shared_groups()
-        hubs = groups.groupBy("sig").agg(F.min("node").alias("a"))
-        stars = skew_join(groups, hubs, ["sig"], F.col("node"), "inner", 4).where("a < node").select("a", F.col("node").alias("b")).distinct()
-        tried = materialize(self.surviving(stars, nodes), "stars")
-        links = self.verified(tried)
+        profiles, level = self.profiles()
+        groups = self.shared_groups(level)
+        self.held = sets = self.sets(groups.select("node"))
+        stars = self._write(groups.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        links = self.verified(stars, sets)
         comps = components(links)
-        more = materialize(self.residual(groups, comps, nodes).join(tried, ["a", "b"], "left_anti"), "residual")
+        more = self._write(self.residual(groups, comps, sets).join(stars, ["a", "b"], "left_anti"), "residual")
         if not more.isEmpty():
-            comps = components(links.unionByName(self.verified(more)))
+            further = self.verified(more, sets)
+            if not further.isEmpty():
+                release(comps)
+                comps = components(links.unionByName(further))
+        self.temporary.append(comps)
+        self._drop(groups, stars, more, self.parted)
         return profiles, comps
 
     def run(self, count_links: bool = False) -> DataFrame:
-        """(id, n_shingles, node, component_id) for each row; n_links, the other rows that it links with, if asked for."""
+        """(id, n_shingles, node, component_id) for each row; n_links, the other rows that it links with, if asked for.
+
+        The result is written; the tables it was made from are deleted.
+        """
         profiles, comps = self.parts()
+        if not count_links:
+            self._drop(self.held)
         if count_links:
             same = profiles.where("n > 0").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("same"))
-            near = same.join(self.link_counts(profiles, comps), "node", "left").select("node", (F.col("same") + F.coalesce("near", F.lit(0))).alias("n_links"))
+            near = same.join(self.link_counts(profiles, comps), "node", "left").select("node", (F.col("same") + F.coalesce("near", F.lit(0))).alias("n_links")).where("n_links > 0")
         named = skew_join(profiles, comps, ["node"], F.col("id"), "left", 4).withColumn("comp", F.coalesce("comp", "node"))
         names = named.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"))
         out = skew_join(named, names, ["comp"], F.col("id"), "left", 4)
         if count_links:
             out = skew_join(out, near, ["node"], F.col("id"), "left", 4)
         counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
-        return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *counts)
+        out = out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *counts)
+        out = materialize(out, "jaccard")
+        self.close()
+        return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _leaf_pairs(begin: np.ndarray, end: np.ndarray, points: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What ``tree_pairs`` gives for groups of at most a leaf, whose tree is that leaf: all of them at once."""
+    small = end - begin <= LEAF
+    lo, k = begin[small], (end - begin)[small]
+    for gap in range(1, int(k.max(initial=1))):  # points that lie so far apart in their group
+        wide = k > gap
+        count = (k - gap)[wide]
+        x = np.repeat(lo[wide] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        y = x + gap
+        ok = (part[x] != part[y]) & ((side[x] != side[y]) | (side[x] == 2))
+        ok &= (100 * sizes[x] >= percent * sizes[y]) & (100 * sizes[y] >= percent * sizes[x])
+        x, y = x[ok], y[ok]
+        for at in range(0, len(x), _ROWS):
+            u, v = x[at : at + _ROWS], y[at : at + _ROWS]
+            fine = _bound(points[u], points[v]) >= _needed(sizes[u], sizes[v], percent)
+            if fine.any():
+                yield u[fine], v[fine]
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -422,7 +512,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node reachable from each node of a link, by label passing with jumps."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "sides")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
+    first = labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
     while True:
         seen = skew_join(both, labels.select(F.col("node").alias("b"), "comp"), ["b"], F.col("a"), "inner", 4)
         step = seen.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -431,9 +521,11 @@ def components(links: DataFrame) -> DataFrame:
         new = skew_join(new, jump, ["comp"], F.col("node"), "left", 4).select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
         new = materialize(new, "labels")
         done = new.where("old <> comp").isEmpty()
-        labels = new.select("node", "comp")
+        release(first)
+        first, labels = new, new.select("node", "comp")
         if done:
-            return labels
+            release(both)
+            return new
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:

@@ -3,11 +3,12 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import exact_dedup, fingerprints, jaccard_join, license_scan, line_dedup, mixing, sentencepieces, substring_dedup, toxicity, warc_fixity
+from palimpsest.llm import _common, exact_dedup, fingerprints, jaccard_join, license_scan, line_dedup, mixing, sentencepieces, substring_dedup, toxicity, warc_fixity
 
 BASE = " ".join(f"w{i}" for i in range(60))
 OTHER = " ".join(f"v{i}" for i in range(40))
@@ -102,13 +103,38 @@ def test_tree_bound_loses_nothing():
     base = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(300) < 0.97], rng.integers(1, 1 << 62, 5, dtype=np.uint64)])) for _ in range(80)]
     points, sizes = np.array([jaccard_join.point_of(s) for s in sets]), np.array([len(s) for s in sets])
+    level = rng.integers(0, 9, jaccard_join.COUNTERS).astype(np.uint16)
+    kept = jaccard_join.prefixes(sets, level, 90)
+    assert max(map(len, kept)) < 40
     found = {(min(a, b), max(a, b)) for x, y in jaccard_join.tree_pairs(points, sizes, np.arange(80), np.full(80, 2), 90) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     for i in range(80):
         for j in range(i + 1, 80):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
                 assert (i, j) in found
-                assert set(jaccard_join.signatures(sets[i], 90)) & set(jaccard_join.signatures(sets[j], 90))
+                assert set(kept[i]) & set(kept[j])
+
+
+def test_stream_groups_are_whole(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 7 == 3, F.lit(0)).otherwise(F.col("id") % 3).cast("int").alias("j"), "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+
+    def work(table):
+        pairs = sorted(set(zip(table.column("k").to_pylist(), table.column("j").to_pylist(), strict=True)))
+        yield pa.RecordBatch.from_pydict({"k": pa.array([p[0] for p in pairs], pa.int64()), "n": pa.array([sum(1 for r in table.select(["k", "j"]).to_pylist() if (r["k"], r["j"]) == p) for p in pairs], pa.int64())})
+
+    got = Counter(tuple(r) for r in _common.stream_groups(rows, ["k", "j"], "k long, n long", work).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == Counter((r.k, r["count"]) for r in rows.groupBy("k", "j").count().collect())
+
+
+def test_many_texts_that_share_a_passage_stay_apart(spark):
+    """All share one shingle, none links: no group holds them together."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("very common words here "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.col("id"), F.lit("x"), k)), " ")).alias("text"))
+    join = jaccard_join.JaccardJoin(rows)
+    _, level = join.profiles()
+    assert join.shared_groups(level).count() == 0
+    assert join.run().where("doc_id <> component_id").count() == 0
 
 
 def test_fingerprints(docs, empty):
