@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._common import SPACE, materialize, skew_join
 
-#: Characters under the prefix hash, and slots of the survivors' filter (its broadcast is at most that many longs).
+#: Characters under the prefix hash, and the least and most slots of the survivors' filter (its broadcast is at most that many longs).
 PREFIX_CHARS = 256
-SLOTS = 1 << 16
+SLOTS = (1 << 16, 1 << 22)
 
 
 def normalised(text: Column) -> Column:
@@ -22,8 +22,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rounds: rows are grouped by length and, within it, by a hash of the prefix; only rows of
     groups with a second member have their full content hashed, and only those hashes are
-    shuffled. Which rows those are travels as a filter of at most SLOTS longs: a row of a
-    lonely group that shares a slot is hashed too, ends in a group of one, and stays.
+    shuffled. Which rows those are travels as a filter of at most SLOTS longs, eight for each such
+    group while that lasts: a row of a lonely group that shares a slot is hashed too, ends in a group
+    of one, and stays. With more groups than slots more is hashed than needed, and nothing is lost.
     The second pass over the text writes id and hash once; what follows reads those alone.
 
     Null texts count as empty, and empty texts equal each other. Of equal texts the smallest
@@ -33,9 +34,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__norm"))
     keyed = rows.withColumn("__len", F.length("__norm")).withColumn("__pre", F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS)))
-    slot = F.pmod(F.xxhash64("__len", "__pre"), F.lit(SLOTS))
-
-    shared = keyed.groupBy("__len", "__pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = keyed.groupBy("__len", "__pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__len", "__pre")
+    shared = materialize(shared, "shared-prefixes")
+    slots, many = SLOTS[0], shared.count()
+    while slots < SLOTS[1] and slots < 8 * many:
+        slots *= 2
+    slot = F.pmod(F.xxhash64("__len", "__pre"), F.lit(slots))
     live = shared.select(slot.alias("__slot"), F.lit(True).alias("__live")).distinct()
     digest = F.sha2("__norm", 256)
     probed = keyed.withColumn("__slot", slot).join(F.broadcast(live), "__slot", "left")

@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import SPACE, materialize, partitions
+from palimpsest.llm._common import SPACE, materialize, partitions, skew_join
 
 BITS = 128
 SHINGLE = 5
 #: Default search: fingerprints that differ in at most so many of the 128 bits, over so many blocks.
-RADIUS = 6
-BLOCKS = 9
+RADIUS = 10
+BLOCKS = 12
+#: Fingerprints of one key that one row holds; more are dealt to several rows.
+PIECE = 4096
+#: Slots of the filter of keys that are asked for (what is broadcast is at most that many numbers).
+SLOTS = 1 << 20
+#: The query searches for the neighbours of documents whose id this divides, among all.
+SEARCHED = 100
 #: Votes of four bits share a long, so a partial sum may count at most 2^16 - 1 terms.
 _CHUNK = 60_000
 
@@ -112,38 +118,76 @@ def in_order(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
     return joined.select("__bucket", "__rn", *columns, *[after[c].alias(f"next_{c}") for c in columns])
 
 
-def near_fingerprints(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(a_hi, a_lo, b_hi, b_lo, distance): all pairs of different fingerprints within ``radius``.
-
-    The bits are cut into ``blocks`` blocks. Two fingerprints that differ in at most ``radius``
-    bits agree in at least blocks - radius blocks, so one of the tables that each permute such a
-    choice of blocks to the front holds both under one key. Equal fingerprints are one row here;
-    their documents share it. A pair is reported once, whichever tables find it.
-    """
+def _tables(radius: int, blocks: int) -> Column:
+    """The keys of a fingerprint in each table: (k, chosen, upto), the blocks in front and the mask below the last of them."""
     keep = blocks - radius
     if keep < 1:
         raise ValueError("blocks must exceed radius")
+    bits = F.concat(F.lpad(F.bin("fp_lo"), 64, "0"), F.lpad(F.bin("fp_hi"), 64, "0"))
     bounds = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    bits = lambda lo, hi: F.concat(F.lpad(F.bin(lo), 64, "0"), F.lpad(F.bin(hi), 64, "0"))
-    distinct = fps.select("fp_hi", "fp_lo").distinct().withColumn("__bits", bits(F.col("fp_lo"), F.col("fp_hi")))
-    tables = []
+    parts = [F.substring(bits, bounds[c] + 1, bounds[c + 1] - bounds[c]) for c in range(blocks)]
+    made = []
     for number, chosen in enumerate(combinations(range(blocks), keep)):
-        front = F.concat(*[F.substring("__bits", bounds[c] + 1, bounds[c + 1] - bounds[c]) for c in chosen])
-        tables.append(F.struct(F.lit(number).alias("t"), F.xxhash64(front).alias("k")))
-    indexed = distinct.select("fp_hi", "fp_lo", F.explode(F.array(*tables)).alias("__e")).select("fp_hi", "fp_lo", "__e.t", "__e.k")
-    a = indexed.select("t", "k", F.col("fp_hi").alias("a_hi"), F.col("fp_lo").alias("a_lo"))
-    b = indexed.select("t", "k", F.col("fp_hi").alias("b_hi"), F.col("fp_lo").alias("b_lo"))
-    apart = distance(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo"))
-    pairs = a.join(b, ["t", "k"]).where("a_hi < b_hi OR a_hi = b_hi AND a_lo < b_lo").withColumn("distance", apart).where(F.col("distance") <= radius)
-    return pairs.select("a_hi", "a_lo", "b_hi", "b_lo", "distance").distinct()
+        key = F.xxhash64(F.lit(number), *[parts[c] for c in chosen])
+        made.append(F.struct(key.alias("k"), F.lit(sum(1 << c for c in chosen)).alias("chosen"), F.lit((1 << (chosen[-1] + 1)) - 1).alias("upto")))
+    return F.array(*made)
+
+
+def _agreeing(hi: Column, lo: Column, blocks: int) -> Column:
+    """A bit for each block in which the difference of two fingerprints is zero."""
+    bounds = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    total = F.lit(0)
+    for c in range(blocks):
+        mask = sum(1 << (127 - i) for i in range(bounds[c], bounds[c + 1]))
+        signed = [m - (1 << 64) if m >= 1 << 63 else m for m in (mask >> 64, mask & ((1 << 64) - 1))]
+        differ = lo.bitwiseAND(F.lit(signed[0]).cast("long")).bitwiseOR(hi.bitwiseAND(F.lit(signed[1]).cast("long")))
+        total = total + F.when(differ == 0, F.lit(1 << c)).otherwise(F.lit(0))
+    return total
+
+
+def near_fingerprints(fps: DataFrame, probes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp_hi, fp_lo, near): for each different probe, the fingerprints within ``radius`` of it, itself included.
+
+    ``near`` is an array of (fp_hi, fp_lo, times, distance) per row; a probe may have several rows, each
+    fingerprint is in one of them. ``times`` counts the rows of ``fps`` with that fingerprint.
+
+    The bits are cut into ``blocks`` blocks. Two fingerprints that differ in at most ``radius`` bits agree
+    in at least blocks - radius blocks, so one of the tables that each permute such a choice of blocks to
+    the front holds both under one key: nothing within the radius is lost. A pair is told by the first
+    table that holds it. Only keys that a probe has go on, by a filter of fixed size; a key's fingerprints
+    are rows of at most about PIECE, however many share it, and no pairs are emitted: a probe meets each
+    row once and keeps what is near.
+    """
+    whole = _tables(radius, blocks)
+    key = lambda df, *columns: df.select(*columns, F.explode(whole).alias("__t")).select(*columns, "__t.k", "__t.chosen", "__t.upto")
+    asked = key(probes.select("fp_hi", "fp_lo").distinct(), "fp_hi", "fp_lo")
+    slot = F.pmod(F.col("k"), F.lit(SLOTS)).cast("int").alias("__slot")
+    live = asked.select(slot).distinct()
+    counted = fps.groupBy("fp_hi", "fp_lo").agg(F.count(F.lit(1)).alias("times"))
+    index = key(counted, "fp_hi", "fp_lo", "times").select("fp_hi", "fp_lo", "times", "k", slot).join(F.broadcast(live), "__slot", "left_semi").select("fp_hi", "fp_lo", "times", "k")
+    index = materialize(index, "tables")
+    large = index.groupBy("k").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PIECE).select("k", F.ceil(F.col("__n") / PIECE).cast("int").alias("__of"))
+    dealt = skew_join(index, large, ["k"], F.col("fp_hi")).withColumn("__piece", F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.coalesce("__of", F.lit(1))))
+    rows = dealt.groupBy("k", "__piece").agg(F.collect_list(F.struct("fp_hi", "fp_lo", "times")).alias("__held"))
+    met = asked.join(rows, "k")
+    c = F.col
+
+    def close(x: Column) -> Column:
+        hi, lo = x["fp_hi"].bitwiseXOR(c("fp_hi")), x["fp_lo"].bitwiseXOR(c("fp_lo"))
+        first = _agreeing(hi, lo, blocks).bitwiseAND(c("upto")) == c("chosen")
+        return F.when(F.bit_count(hi) + F.bit_count(lo) <= radius, first).otherwise(F.lit(False))
+
+    told = F.transform(F.filter("__held", close), lambda x: F.struct(x["fp_hi"].alias("fp_hi"), x["fp_lo"].alias("fp_lo"), x["times"].alias("times"), distance(x["fp_hi"], x["fp_lo"], c("fp_hi"), c("fp_lo")).alias("distance")))
+    return met.select("fp_hi", "fp_lo", told.alias("near")).where(F.size("near") > 0)
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; see the query's contract.
 
     Null texts count as empty, and all empty texts share a fingerprint. A single document is its
-    own next. Rows that repeat an id follow each other in a fixed order. Only the id and the text
-    are read; an empty table gives an empty result.
+    own next. Rows that repeat an id follow each other in a fixed order. Ids are numbers. Only the id
+    and the text are read; an empty table gives an empty result. ``n_near`` says how many other rows have
+    fingerprints within RADIUS; it is asked for ids that SEARCHED divides, and null for others.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     ordered = in_order(rows, "id", ["id", "body"])
@@ -163,10 +207,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shifted = firsts.withColumn("__of", F.coalesce(F.lag("__bucket").over(order), F.max("__bucket").over(W.partitionBy(F.lit(1)))))
     joined = inner.join(shifted.select(F.col("__of").alias("__bucket"), "__first"), "__bucket", "left").withColumn("nx", F.coalesce("__next", "__first"))
     c = F.col
+    fps = slim.select("id", c("hi").alias("fp_hi"), c("lo").alias("fp_lo"))
+    mine = c("id") % SEARCHED == 0
+    near = near_fingerprints(fps, fps.where(mine))
+    sums = near.groupBy(c("fp_hi").alias("hi"), c("fp_lo").alias("lo")).agg(F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda n, x: n + x["times"])).alias("__near"))
+    joined = joined.withColumn("__asked", F.coalesce(mine, F.lit(False)))
+    asked = joined.where("__asked").join(sums, ["hi", "lo"], "left").withColumn("n_near", c("__near") - 1).drop("__near")
+    joined = joined.where("NOT __asked").withColumn("n_near", F.lit(None).cast("long")).unionByName(asked)
     return joined.select(
         c("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         hex_fingerprint(c("hi"), c("lo")).alias("fingerprint"), hex_fingerprint(c("e_hi"), c("e_lo")).alias("edited_fingerprint"),
-        likeness(c("hi"), c("lo"), c("e_hi"), c("e_lo")).alias("near_edited"), likeness(c("hi"), c("lo"), c("nx.hi"), c("nx.lo")).alias("near_next"),
+        likeness(c("hi"), c("lo"), c("e_hi"), c("e_lo")).alias("near_edited"), likeness(c("hi"), c("lo"), c("nx.hi"), c("nx.lo")).alias("near_next"), "n_near",
     )
 
 

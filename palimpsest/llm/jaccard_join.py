@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm._common import materialize, partitions, release, skew_join, stream_groups
 from palimpsest.llm._words import LOWER, Batch, mix64, pack_planes, runs, unpack_planes
 
-#: Coordinates of a point, and of the coarse sums of them that the trees are built on.
+#: Coordinates of a point, and of the coarse sums of them that the trees are built on. What travels of a
+#: point are those sums and the parity of each coordinate, 160 bytes; the whole point is counted from the set.
 DIMS, COARSE = 256, 32
+PARITY = tuple(f"p{k}" for k in range(DIMS // 64))
 LEAF = 32
 #: Points of one tree; larger groups are dealt to pairs of tiles.
 TILE = 2000
@@ -76,8 +78,17 @@ def point_of(s: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32)
 
 
-def points_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, DIMS)
+def coarse_of(points: np.ndarray) -> np.ndarray:
+    return points.reshape(*points.shape[:-1], COARSE, -1).sum(-1, dtype=np.uint32)
+
+
+def parity_of(points: np.ndarray) -> np.ndarray:
+    """A bit for each coordinate that is odd: they differ in at most as many places as the sets do in tokens."""
+    return np.packbits((points & 1).astype(bool), axis=-1).view(np.int64)
+
+
+def coarse_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COARSE)
 
 
 def prefixes(sets: list[np.ndarray], level: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -126,14 +137,20 @@ def _needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs whose bound allows a link, of different parts; sides 0 and 1 meet only each other.
+def _odd_bound(p: np.ndarray, q: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The greatest overlap that the parities allow: each coordinate whose parities differ costs a token."""
+    apart = np.bitwise_count((p ^ q).view(np.uint64)).sum(-1, dtype=np.int64)  # of a negative number it would count another
+    return (na + nb - apart) // 2
+
+
+def tree_pairs(coarse: np.ndarray, parity: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs whose bounds allow a link, of different parts; sides 0 and 1 meet only each other.
 
     The tree is packed: points sorted by size and leading coordinates, leaves of LEAF points,
-    boxes of coordinate maxima and least sizes. Leaf against leaf, then point against point, on
-    COARSE sums of coordinates first, whose bound is wider, and then on all.
+    boxes of coordinate maxima and least sizes. Leaf against leaf, then point against point, by the
+    sums of coordinate minima, and then by parities.
     """
-    coarse = points.reshape(len(points), COARSE, -1).sum(-1, dtype=np.int32)
+    coarse = coarse.astype(np.int64)
     order = np.lexsort((coarse[:, 1], coarse[:, 0], sizes))
     begin = np.arange(0, len(order), LEAF)
     ends = np.append(begin[1:], len(order))
@@ -154,7 +171,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np
                 ok &= a[:, None] < b[None]
             x, y = np.nonzero(ok)
             x, y = ia[x], ib[y]
-            fine = _bound(points[x], points[y]) >= _needed(sizes[x], sizes[y], percent)
+            fine = _odd_bound(parity[x], parity[y], sizes[x], sizes[y]) >= _needed(sizes[x], sizes[y], percent)
             if fine.any():
                 yield x[fine], y[fine]
 
@@ -189,7 +206,7 @@ class JaccardJoin:
         self._drop(*self.temporary)
 
     def profiles(self) -> tuple[DataFrame, np.ndarray]:
-        """(id, n, node) of each row, and the level of each counter in the tokens' order.
+        """(id, n, node, coarse, parity) of each row, and the level of each counter in the tokens' order.
 
         Levels are ranks of the number of documents that hold a token of the counter; a document
         that comes again in a task is counted once. Counts are summed piece by piece; 64 rows of
@@ -210,12 +227,17 @@ class JaccardJoin:
                             fresh.append(s)
                     if fresh:
                         counts += np.bincount(counter_of(np.concatenate(fresh)), minlength=COUNTERS)
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "piece": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
+                    points = np.array([point_of(s) for s in sets]).reshape(-1, DIMS)
+                    odd = parity_of(points)
+                    columns = {"id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "coarse": pa.array([c.tobytes() for c in coarse_of(points)], pa.binary())}
+                    columns |= {p: pa.array(odd[:, k]) for k, p in enumerate(PARITY)}
+                    yield pa.RecordBatch.from_pydict(columns | {"piece": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
             if seen:
                 for k in range(COUNTER_PIECES):
-                    yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "node": pa.nulls(1, pa.int64()), "piece": pa.array([k], pa.int32()), "counts": pa.array([pack_planes(counts[k * size : (k + 1) * size])], pa.binary())})
+                    none = {c: pa.nulls(1, pa.int64()) for c in ("id", "n", "node")} | {"coarse": pa.nulls(1, pa.binary())} | {p: pa.nulls(1, pa.int64()) for p in PARITY}
+                    yield pa.RecordBatch.from_pydict(none | {"piece": pa.array([k], pa.int32()), "counts": pa.array([pack_planes(counts[k * size : (k + 1) * size])], pa.binary())})
 
-        table = self._write(self.rows.mapInArrow(make, "id long, n long, node long, piece int, counts binary"), "profiles")
+        table = self._write(self.rows.mapInArrow(make, f"id long, n long, node long, coarse binary, {', '.join(f'{p} long' for p in PARITY)}, piece int, counts binary"), "profiles")
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -231,10 +253,14 @@ class JaccardJoin:
             counts[r["piece"] * size : (r["piece"] + 1) * size] = unpack_planes(r["counts"])
         known, rank = np.unique(counts, return_inverse=True)
         level = (rank * min(1.0, 65535 / max(1, len(known) - 1))).astype(np.uint16)
-        return table.where("piece IS NULL").select("id", "n", "node"), level
+        return table.where("piece IS NULL").drop("piece", "counts"), level
 
     def shared_groups(self, level: np.ndarray) -> DataFrame:
-        """(sig, node, hub): the prefix tokens that several nodes share, with the least of them. The one large exchange of the join."""
+        """(sig, node, hub): the prefix tokens that nodes of like sizes share, with the least of them. The one large exchange of the join.
+
+        A token's nodes come in the order of their sizes. Where a size is too far from the one before it
+        for a link, a new group begins; ``sig`` tells the groups of a token apart.
+        """
         words, percent, held = self.words, self.percent, self.spark.sparkContext.broadcast(level)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,44 +276,39 @@ class JaccardJoin:
                             nodes.append(node)
                     if fresh:
                         sigs = prefixes(fresh, held.value, percent)
-                        yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(sigs).view(np.int64)), "node": pa.array(np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs]))})
+                        times = [len(x) for x in sigs]
+                        yield pa.RecordBatch.from_pydict({"sig": pa.array(np.concatenate(sigs).view(np.int64)), "n": pa.array(np.repeat(np.array([len(x) for x in fresh], np.int32), times)), "node": pa.array(np.repeat(np.array(nodes, np.int64), times))})
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sig = node = hub = None  # the last row, and the least node of its token
+            sig = node = size = hub = name = None  # of the last row; the least node and the name of its group
             told = False  # whether that row went out
             for batch in batches:
-                s, v = (batch.column(k).to_numpy() for k in (0, 1))
+                s, n, v = (batch.column(k).to_numpy() for k in (0, 1, 2))
                 if not len(s):
                     continue
-                first = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))
-                s, v = s[first], v[first]
                 if sig is not None:
-                    if s[0] == sig and v[0] == node:
-                        s, v = s[1:], v[1:]
-                    s, v = np.concatenate(([sig], s)), np.concatenate(([node], v))
-                begin = runs(s)
-                size = np.diff(np.append(begin, len(s)))
-                least = v[begin]
-                open_ = size > 1
-                if sig is not None:
-                    least[0], open_[0] = hub, open_[0] or told
-                out, least = np.repeat(open_, size), np.repeat(least, size)
-                if sig is not None and told:
+                    s, n, v = np.concatenate(([sig], s)), np.concatenate(([size], n)), np.concatenate(([node], v))
+                fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])))
+                s, n, v = s[fresh], n[fresh].astype(np.int64), v[fresh]
+                begin = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (100 * n[:-1] < percent * n[1:]))))
+                count = np.diff(np.append(begin, len(s)))
+                least, names = np.minimum.reduceat(v, begin), mix64(s[begin].view(np.uint64) + mix64(n[begin].astype(np.uint64))).view(np.int64)
+                open_ = count > 1
+                if sig is not None:  # what began before goes on
+                    names[0], least[0], open_[0] = name, hub if told else min(hub, least[0]), open_[0] or told
+                out, least, names = np.repeat(open_, count), np.repeat(least, count), np.repeat(names, count)
+                sig, size, node, hub, name = s[-1], n[-1], v[-1], least[-1], names[-1]
+                if told:
                     out[0] = False
-                sig, node, hub, told = s[-1], v[-1], least[-1], bool(open_[-1])
+                told = bool(open_[-1])
                 if out.any():
-                    yield pa.RecordBatch.from_pydict({"sig": pa.array(s[out]), "node": pa.array(v[out]), "hub": pa.array(least[out])})
+                    yield pa.RecordBatch.from_pydict({"sig": pa.array(names[out]), "node": pa.array(v[out]), "hub": pa.array(least[out])})
 
-        rows = self.rows.mapInArrow(make, "sig long, node long").repartition(self.n, "sig").sortWithinPartitions("sig", "node")
+        rows = self.rows.mapInArrow(make, "sig long, n int, node long").repartition(self.n, "sig").sortWithinPartitions("sig", "n", "node")
         return self._write(rows.mapInArrow(meet, "sig long, node long, hub long"), "groups")
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, point, tokens) of at least these nodes, once each; only their sets are shuffled.
-
-        Which they are travels as a filter of about 16 bits a node, up to a fixed size; beyond it
-        more sets are written than needed, which changes no result.
-        """
-        words = self.words
+    def _filter(self, nodes: DataFrame):
+        """(broadcast bits, their number): about 16 bits a node, up to a fixed size; beyond it more passes than is needed, which changes no result."""
         wanted = nodes.distinct()
         bits = FILTER_BITS[0]
         many = wanted.count()
@@ -297,7 +318,12 @@ class JaccardJoin:
         flags = np.zeros(bits, bool)
         for r in slots.groupBy("k").agg(F.expr("bitmap_construct_agg(at)").alias("m")).toLocalIterator():  # rows of 4 KB, 32 MB at most
             flags[r["k"] * 32768 : (r["k"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-        held = self.spark.sparkContext.broadcast(np.packbits(flags))
+        return self.spark.sparkContext.broadcast(np.packbits(flags)), bits
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens) of at least these nodes, once for each task that holds a text of it; written where they are, not shuffled."""
+        words = self.words
+        held, bits = self._filter(nodes)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             want, seen = np.unpackbits(held.value).astype(bool), set()
@@ -310,23 +336,26 @@ class JaccardJoin:
                             seen.add(node)
                             out.append((node, s))
                     if out:
-                        yield pa.RecordBatch.from_pydict({"node": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([len(o[1]) for o in out], pa.int64()), "point": pa.array([point_of(o[1]).tobytes() for o in out], pa.binary()), "tokens": pa.array([o[1].tobytes() for o in out], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"node": pa.array([o[0] for o in out], pa.int64()), "tokens": pa.array([o[1].tobytes() for o in out], pa.binary())})
 
-        return self._write(self.rows.mapInArrow(make, "node long, n long, point binary, tokens binary").dropDuplicates(["node"]), "sets")
+        return self._write(self.rows.mapInArrow(make, "node long, tokens binary"), "sets")
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs that link, by the bound of their count vectors and then by their sets."""
-        percent = self.percent
-        side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
+    def allowed(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs whose sizes and parities allow a link."""
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(p).alias(f"{p}_{s}") for p in PARITY])
+        both = skew_join(skew_join(pairs, side("a"), ["a"], F.col("b"), "inner", 4), side("b"), ["b"], F.col("a"), "inner", 4)
+        apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
+        total = F.col("n_a") + F.col("n_b")
+        return both.where(F.floor((total - apart) / 2) >= F.ceil(self.percent * total / (100 + self.percent))).select("a", "b")
 
-        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                pa_, pb = points_in(col("p_a")), points_in(col("p_b"))
-                na, nb = (col(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-                keep = pa.array(_bound(pa_, pb) >= _needed(na, nb, percent))
-                yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(keep)
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by the bound of their whole points and then by their sets."""
+        percent = self.percent
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        sets = self.sets(ends)
+        tokens = self._write(sets.dropDuplicates(["node"]), "tokens")
+        self._drop(sets)
+        self.held.append(tokens)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -334,37 +363,40 @@ class JaccardJoin:
                 keep = []
                 for x, y in zip(col("t_a"), col("t_b"), strict=True):
                     s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                    keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                    links = bool(_bound(point_of(s), point_of(t)) >= _needed(len(s), len(t), percent))
+                    if links:
+                        both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                        links = 100 * both >= percent * (len(s) + len(t) - both)
+                    keep.append(links)
                 yield pa.RecordBatch.from_arrays([col("a"), col("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        left = near.mapInArrow(prune, "a long, b long")
-        one = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
-        two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
+        one = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
+        two = one.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b")
         return self._write(two.mapInArrow(check, "a long, b long"), "links")
 
-    def residual(self, groups: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs that share a prefix token, lie in different components and pass the bound, by R-trees."""
+    def residual(self, groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs that share a prefix token, lie in different components and pass the bounds, by R-trees."""
         percent = self.percent
         parted = skew_join(groups.select("sig", "node"), comps, ["node"], F.col("sig"), "left", 4).select("sig", "node", F.coalesce("comp", "node").alias("part"))
         parted = self.parted = self._write(parted, "parted")
         open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
-        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(sets.select("node", "n", "point"), "node")
+        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes, "node")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "point")
+        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "coarse", *PARITY)
 
         def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
             sig, i, j, at, node, part, n = (table.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "part", "n"))
-            points = points_in(table.column("point"))
+            coarse = coarse_in(table.column("coarse"))
+            parity = np.stack([table.column(p).to_numpy() for p in PARITY], axis=1)
             begin = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             end = np.append(begin[1:], len(sig))
             side = np.where(i == j, 2, at == j)
-            for x, y in _leaf_pairs(begin, end, points, n, part, side, percent):
+            for x, y in _leaf_pairs(begin, end, coarse, parity, n, part, side, percent):
                 yield _pairs(node[x], node[y])
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 if hi - lo > LEAF:
-                    for x, y in tree_pairs(points[lo:hi], n[lo:hi], part[lo:hi], side[lo:hi], percent):
+                    for x, y in tree_pairs(coarse[lo:hi], parity[lo:hi], n[lo:hi], part[lo:hi], side[lo:hi], percent):
                         yield _pairs(node[lo:hi][x], node[lo:hi][y])
 
         return stream_groups(rows, ["sig", "i", "j"], "a long, b long", search).distinct()
@@ -382,7 +414,10 @@ class JaccardJoin:
         counts the overlap of all their sets exactly; so each pair is looked at once.
         """
         percent = self.percent
-        rows = members.where("k > 2").join(self.held.select("node", "tokens"), "node").withColumn("tiles", F.ceil(F.col("k") / SIDE).cast("int"))
+        seen = self.held[0]
+        for tokens in self.held[1:]:
+            seen = seen.unionByName(tokens.join(seen.select("node"), "node", "left_anti"))
+        rows = members.where("k > 2").join(seen, "node").withColumn("tiles", F.ceil(F.col("k") / SIDE).cast("int"))
         rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("comp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "times", "tokens")
 
@@ -427,21 +462,23 @@ class JaccardJoin:
 
     def parts(self) -> tuple[DataFrame, DataFrame]:
         """The rows' profiles, and (node, comp) of each node that links."""
+        self.held = []
         profiles, level = self.profiles()
         groups = self.shared_groups(level)
-        self.held = sets = self.sets(groups.select("node"))
-        stars = self._write(groups.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-        links = self.verified(stars, sets)
+        nodes = self._write(profiles.drop("id").where("n > 0").dropDuplicates(["node"]), "nodes")
+        stars = self._write(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
+        links = self.verified(self._write(self.allowed(stars, nodes), "near"))
         comps = components(links)
-        more = self._write(self.residual(groups, comps, sets).join(stars, ["a", "b"], "left_anti"), "residual")
+        more = self._write(self.residual(groups, comps, nodes).join(stars, ["a", "b"], "left_anti"), "residual")
+        self._drop(groups, stars, nodes, self.parted)
         if not more.isEmpty():
-            further = self.verified(more, sets)
+            further = self.verified(more)
             if not further.isEmpty():
                 release(comps)
                 comps = components(links.unionByName(further))
+        self._drop(more)
         self.temporary.append(comps)
-        self._drop(groups, stars, more, self.parted)
-        return profiles, comps
+        return profiles.select("id", "n", "node"), comps
 
     def run(self, count_links: bool = False) -> DataFrame:
         """(id, n_shingles, node, component_id) for each row; n_links, the other rows that it links with, if asked for.
@@ -450,7 +487,7 @@ class JaccardJoin:
         """
         profiles, comps = self.parts()
         if not count_links:
-            self._drop(self.held)
+            self._drop(*self.held)
         if count_links:
             same = profiles.where("n > 0").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("same"))
             near = same.join(self.link_counts(profiles, comps), "node", "left").select("node", (F.col("same") + F.coalesce("near", F.lit(0))).alias("n_links")).where("n_links > 0")
@@ -470,7 +507,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _leaf_pairs(begin: np.ndarray, end: np.ndarray, points: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaf_pairs(begin: np.ndarray, end: np.ndarray, coarse: np.ndarray, parity: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """What ``tree_pairs`` gives for groups of at most a leaf, whose tree is that leaf: all of them at once."""
     small = end - begin <= LEAF
     lo, k = begin[small], (end - begin)[small]
@@ -484,7 +521,8 @@ def _leaf_pairs(begin: np.ndarray, end: np.ndarray, points: np.ndarray, sizes: n
         x, y = x[ok], y[ok]
         for at in range(0, len(x), _ROWS):
             u, v = x[at : at + _ROWS], y[at : at + _ROWS]
-            fine = _bound(points[u], points[v]) >= _needed(sizes[u], sizes[v], percent)
+            need = _needed(sizes[u], sizes[v], percent)
+            fine = (_odd_bound(parity[u], parity[v], sizes[u], sizes[v]) >= need) & (_bound(coarse[u], coarse[v]) >= need)
             if fine.any():
                 yield u[fine], v[fine]
 

@@ -48,8 +48,11 @@ def line_dedup(docs: DataFrame, host: Column, text: Column, spread: Column, rati
     by a salted join on the host that AQE turns into a broadcast only if the lists measure small.
 
     A null host is a host of its own; null text has no lines; blank lines always stay; repeated
-    rows count as pages of their own. Columns of ``docs`` are kept as they are.
+    rows count as pages of their own. Columns of ``docs`` are kept as they are, but two: ``__lines`` and
+    ``__kept`` are the result's, and a column of ``docs`` of such a name is an error.
     """
+    if taken := {"__lines", "__kept"} & set(docs.columns):
+        raise ValueError(f"columns that the result adds: {sorted(taken)}")
     lines = F.split(text, "\n")
     none, name = host.isNull(), F.coalesce(host, F.lit(""))
     incidence = docs.select(none.alias("__none"), name.alias("__host"), F.explode(F.array_distinct(F.transform(lines, line_key))).alias("__key")).where("__key IS NOT NULL")
@@ -57,9 +60,14 @@ def line_dedup(docs: DataFrame, host: Column, text: Column, spread: Column, rati
     totals = docs.groupBy(none.alias("__none"), name.alias("__host")).agg(F.count(F.lit(1)).alias("__total"))
     often = skew_join(counts, totals, ["__none", "__host"], F.col("__key.a"), "inner").where(F.col("__pages") > F.col("__total") * ratio)
     boiler = often.groupBy("__none", "__host").agg(F.collect_list("__key").alias("__boiler"))
-    joined = skew_join(docs.withColumns({"__none": none, "__host": name, "__lines": lines}), boiler, ["__none", "__host"], spread)
-    kept = F.filter("__lines", lambda line: ~F.coalesce(F.array_contains("__boiler", line_key(line)), F.lit(False)))
-    return joined.withColumn("__kept", F.when(F.col("__boiler").isNull(), F.col("__lines")).otherwise(kept)).drop("__none", "__host", "__boiler")
+    mine = docs.select(F.struct(*docs.columns).alias("__doc"), none.alias("__none"), name.alias("__host"), lines.alias("__split"), spread.alias("__spread"))
+    joined = skew_join(mine, boiler, ["__none", "__host"], F.col("__spread"))
+    halves = lambda keys: F.transform(keys, lambda k: k["a"])
+    keyed = joined.withColumn("__keys", F.when(F.col("__boiler").isNotNull(), F.transform("__split", line_key)))
+    found = keyed.withColumn("__half", F.array_intersect(halves(F.col("__keys")), halves(F.col("__boiler"))))  # by hashing, not pair by pair
+    found = found.withColumn("__hits", F.when(F.size("__half") > 0, F.filter("__boiler", lambda k: F.array_contains("__half", k["a"]))))
+    kept = F.filter("__split", lambda line, i: ~F.coalesce(F.array_contains("__hits", F.get("__keys", i)), F.lit(False)))
+    return found.select("__doc.*", F.col("__split").alias("__lines"), F.when(F.col("__hits").isNull(), F.col("__split")).otherwise(kept).alias("__kept"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,18 @@ A window of 13 words holds a whole block of 7 words wherever the grid of blocks
    7-word windows, each once, with a mark on those that are blocks of the grid. Keys meet by
    value; an anchor is a key that two documents hold and that is a block in one of them. The
    answer is one bit for each key that a batch sent, in the order of the keys.
-2. Extend: each batch widens its anchors to the 13-word windows around them, and sends their
-   64-bit keys with the smallest doc_id it has for each. The answer is again a bit: whether
-   another batch has a smaller one.
+2. Extend: each batch widens its anchors to the 13-word windows around them, and sends their keys
+   of two independent 64-bit hashes with the smallest doc_id it has for each. The answer is again a
+   bit: whether another batch has a smaller one.
 3. Windows that begin in a document with a smaller doc_id are joined to maximal repeats, and
    their words go.
 
 A key is sent once for each batch, so a passage in a third of all documents is as cheap as any
 other, and no pairs of documents are ever formed. The three passes read one and the same exchange
 of the texts; what else is shuffled is about four bytes for each word, and the bits.
+
+Batches are cut by bytes of text and keys by ranges, both of a size that one task holds, whatever the
+width of the shuffle. A batch's keys of one range are one message.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm._common import partitions
-from palimpsest.llm._words import Batch, pack_planes, pack_sorted, runs, unpack_planes, unpack_sorted
+from palimpsest.llm._words import Batch, mix64, pack_planes, pack_sorted, runs, unpack_planes, unpack_sorted
 
 WINDOW = 13
 #: Bits of an anchor's key. A chance match only adds a candidate, which the full window decides.
 ANCHOR_BITS = 48
-_ROUTES = 3  # key ranges for each shuffle partition
+#: Bytes of text of a batch, and of the texts whose keys fall into one range.
+BATCH_BYTES = 16 << 20
+RANGE_BYTES = 6 << 20
 
 _SENT = "batch int, route int, part int, keys binary, extra binary"
 _SENT_ARROW = pa.schema([("batch", pa.int32()), ("route", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
@@ -42,6 +47,7 @@ _OUT = "__id long, n_words long, n_removed long, kept_text string, repeats array
 _OUT_ARROW = pa.schema([("__id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("repeats", pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))])
 _SLICE = 8 << 20  # bytes of text hashed and answered at a time
 _MASK = -1  # route of a batch's own candidate mask
+_SECOND = np.uint64(0x5851F42D4C957F2D)  # makes the second key's hashes others than the first's
 
 
 class _Texts:
@@ -89,11 +95,23 @@ class _Texts:
         np.add.at(marks, at + 1, -1)
         return np.cumsum(marks[:n]) > 0
 
-    def full(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, key) of the whole windows among the marked starts."""
+    def full(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, key, second key) of the whole windows among the marked starts, in the order of the keys."""
         at, keys = self.words.windows(self.hashes, self.window)
         keep = mask[at] & self.has_id[self.words.owner(at)]
-        return at[keep], keys[keep]
+        at, keys = at[keep], keys[keep]
+        second = np.zeros(len(at), np.uint64)
+        for j in range(self.window):
+            second = mix64(second + mix64(self.hashes[at + j] ^ _SECOND))
+        order = np.lexsort((second, keys))
+        return at[order], keys[order], second[order]
+
+
+def _runs_of(keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where each run of equal pairs begins in ordered keys."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (second[1:] != second[:-1]))))
 
 
 def _send(batch: int, routes: int, bits: int, keys: np.ndarray, extra: np.ndarray, part: int = 0) -> Iterator[pa.RecordBatch]:
@@ -104,7 +122,7 @@ def _send(batch: int, routes: int, bits: int, keys: np.ndarray, extra: np.ndarra
     rows = [(batch, int(route[b]), part, pack_sorted(keys[b:e]), extra[b:e]) for b, e in zip(begin, end, strict=True)]
     for i in range(0, len(rows), 512):
         cut = rows[i : i + 512]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in cut], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))] + [pa.array([r[4].tobytes() if r[4].dtype == np.uint8 else pack_planes(r[4]) for r in cut], pa.binary())], schema=_SENT_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in cut], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))] + [pa.array([r[4].tobytes() if r[4].dtype == np.uint8 else pack_planes(r[4].T.reshape(-1)) for r in cut], pa.binary())], schema=_SENT_ARROW)
 
 
 def _table(batches: list[pa.RecordBatch]) -> pa.Table:
@@ -132,11 +150,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that repeat an id are not repeats of each other. Other columns are not read.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} has to be an integer")
     n = partitions(spark)
-    routes = n * _ROUTES
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    size = rows.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
+    batches, routes = (max(1, -(-size // most)) for most in (BATCH_BYTES, RANGE_BYTES))
     tie = F.xxhash64("__text")
-    dealt = rows.withColumn("__tie", tie).withColumn("batch", F.pmod(F.xxhash64("__id", "__tie"), F.lit(n)).cast("int")).repartition(n, "batch")
+    dealt = rows.withColumn("__tie", tie).withColumn("batch", F.pmod(F.xxhash64("__id", "__tie"), F.lit(batches)).cast("int")).repartition(n, "batch")
 
     def probe(table: pa.Table) -> pa.Table:
         own = _Texts(table, window)
@@ -167,12 +188,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keys, _, _, index = own.anchors()
         live = _bits(right.to_pylist())
         mask = own.candidates(live[index]) if len(index) else np.zeros(len(own.hashes), bool)
-        at, full = own.full(mask)
-        order = np.argsort(full, kind="stable")
-        begin = runs(full[order])
-        ids = np.minimum.reduceat(own.known[own.words.owner(at)][order], begin) if len(begin) else np.zeros(0, np.int64)
+        at, full, second = own.full(mask)
+        begin = _runs_of(full, second)
+        ids = np.minimum.reduceat(own.known[own.words.owner(at)], begin) if len(begin) else np.zeros(0, np.int64)
         kept = pa.RecordBatch.from_pylist([{"batch": batch, "route": _MASK - batch, "part": 1, "keys": pack_planes(np.frombuffer(np.pad(np.packbits(mask), (0, -len(np.packbits(mask)) % 8)).tobytes(), np.int64)), "extra": len(mask).to_bytes(8, "little")}], _SENT_ARROW)
-        return _table([*_send(batch, routes, 64, full[order][begin], ids), kept])
+        both = np.concatenate([ids.view(np.uint64)[:, None], second[begin][:, None]], axis=1)
+        return _table([*_send(batch, routes, 64, full[begin], both), kept])
 
     def settle(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() == 1:  # a batch's own mask passes through
@@ -180,10 +201,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sent = table.to_pylist()
         keys = [unpack_sorted(r["keys"]) for r in sent]
         lengths = [len(k) for k in keys]
-        ids = np.concatenate([unpack_planes(r["extra"]) for r in sent])
+        both = np.concatenate([unpack_planes(r["extra"], np.uint64).reshape(2, -1) for r in sent], axis=1)
+        ids, second = both[0].view(np.int64), both[1]
         keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        begin = runs(keys[order])
+        order = np.lexsort((second, keys))
+        begin = _runs_of(keys[order], second[order])
         least = np.minimum.reduceat(ids[order], begin)
         out = np.empty(len(order), bool)
         out[order] = np.repeat(least, np.diff(np.append(begin, len(order)))) < ids[order]
@@ -197,16 +219,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         masks = [r for r in answers if r["part"] == 1]
         mask = np.unpackbits(unpack_planes(masks[0]["keys"]).view(np.uint8), count=int.from_bytes(masks[0]["extra"], "little")).astype(bool) if masks else np.zeros(len(own.hashes), bool)
         smaller = _bits([r for r in answers if r["part"] == 0])
-        at, full = own.full(mask)
+        at, full, second = own.full(mask)
         gone = np.zeros(len(own.hashes) + 1, np.int64)
         if len(at):
-            order = np.argsort(full, kind="stable")
-            begin = runs(full[order])
-            docs_of = own.known[own.words.owner(at)][order]
-            size = np.diff(np.append(begin, len(order)))
+            begin = _runs_of(full, second)
+            docs_of = own.known[own.words.owner(at)]
+            size = np.diff(np.append(begin, len(at)))
             first = np.repeat(np.minimum.reduceat(docs_of, begin), size)
             hit = np.repeat(smaller, size) | (docs_of > first)
-            starts = at[order][hit]
+            starts = at[hit]
             np.add.at(gone, starts, 1)
             np.add.at(gone, starts + window, -1)
         covered = np.cumsum(gone[:-1]) > 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import materialize
+from palimpsest.llm._common import materialize, release
 
 PER_FILE = 1000
 RANGE = 1 << 16  # bytes under one node of the lowest range level
@@ -25,12 +25,16 @@ def warc_record(url: Column, payload: Column) -> Column:
 def lay_out(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """(page_id, file, offset, length, record): pages as records of files of bounded size.
 
-    A file takes the pages of ``per_file`` consecutive ids, in order of id and url. Pages without
-    an id are dealt by a hash of their url to files of negative number.
+    A file takes the pages of ``per_file`` consecutive ids, in order of id and url. Pages without an id,
+    and those of ids that so many pages share that a file would have more than four times ``per_file``,
+    are dealt by a hash of url and content to files of negative number. Other columns are not read.
     """
-    record = warc_record(F.col("url"), F.col("html"))
-    stray = -1 - F.pmod(F.xxhash64("url"), F.lit(1 << 20))
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), stray).cast("long").alias("file"), "url", record.alias("record"))
+    rows = pages.select("page_id", F.floor(F.col("page_id") / per_file).cast("long").alias("block"), "url", "html")
+    crowded = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 4 * per_file) | F.col("block").isNull()).select(F.coalesce("block", F.lit(-1)).alias("of"), F.ceil(F.col("n") / per_file).alias("parts"))
+    part = F.pmod(F.xxhash64("url", "html"), F.col("parts"))
+    rows = rows.withColumn("of", F.coalesce("block", F.lit(-1))).join(crowded, "of", "left")
+    file = F.when(F.col("parts").isNull(), F.col("block")).otherwise(-1 - F.pmod(F.xxhash64("of", part), F.lit(1 << 40)))
+    rows = rows.select("page_id", file.cast("long").alias("file"), "url", warc_record(F.col("url"), F.col("html")).alias("record"))
     rows = rows.withColumn("length", F.octet_length("record").cast("long"))
     before = F.sum("length").over(W.partitionBy("file").orderBy("page_id", "url", F.xxhash64("record")).rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).select("page_id", "file", "offset", "length", "record")
@@ -45,39 +49,45 @@ def leaves(records: DataFrame, name: str) -> DataFrame:
     return materialize(slim, name)
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
+def tree(leaf: DataFrame, name: str) -> list[DataFrame]:
     """Nodes of each level, roots first: a node is the digest of its children in order.
 
-    Children of a node are few by construction, so each is one small row.
+    Children of a node are few by construction, so each is one small row. Every level is written, from
+    slim rows of the one below it, so an audit reads levels and computes none twice.
     """
-    levels = [leaf.select(*LEVELS[-1], "length", "digest")]
+    levels = [leaf]
     for keys in reversed(LEVELS[:-1]):
-        below = levels[0]
-        child = next(c for c in LEVELS[len(keys)] if c not in keys) if len(keys) < len(LEVELS) else "offset"
+        child = LEVELS[len(keys)][-1]
         ordered = F.array_sort(F.collect_list(F.struct(F.col(child).alias("k"), F.col("digest").alias("d"))))
-        levels.insert(0, below.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda c: F.concat_ws(":", c["k"].cast("string"), c["d"])), "\n"), 256).alias("digest")))
+        nodes = levels[0].groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda c: F.concat_ws(":", c["k"].cast("string"), c["d"])), "\n"), 256).alias("digest"))
+        levels.insert(0, materialize(nodes, f"{name}-{len(keys)}"))
     return levels
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(file, offset, length, kind, digest, found) of each record that the replicas don't share.
 
-    Both sides have file, offset, length and record. Roots are compared first, and each level
-    reads only the children of nodes that differ. ``kind`` is altered, missing (not in theirs) or
-    extra. A null record has no digest and differs from any that has; replicas that agree, and two
-    empty ones, give no rows. Offsets are unique in a file.
+    Both sides have file, offset, length and record. Roots are compared first; then each level reads
+    the children of the nodes that differ from what was written, and nothing else. ``kind`` is altered,
+    missing (not in theirs) or extra. A null record has no digest and differs from any that has; replicas
+    that agree, and two empty ones, give no rows. Offsets are unique in a file. The result is written, and
+    the trees are deleted.
     """
-    a, b = (tree(leaves(side, f"replica-{k}")) for k, side in enumerate((ours, theirs)))
-    differing = None
+    a, b = (tree(leaves(side, f"replica-{k}"), f"level-{k}") for k, side in enumerate((ours, theirs)))
+    differing, used = None, [*a, *b]
     for keys, x, y in zip(LEVELS, a, b, strict=True):
         if differing is not None:
             x, y = (side.join(differing, parent, "left_semi") for side in (x, y))
         both = x.alias("x").join(y.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys], "full_outer").where(~F.col("x.digest").eqNullSafe(F.col("y.digest")))
         picked = [F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in keys]
-        if keys is LEVELS[-1]:
-            kind = F.when(F.col("y.offset").isNull(), "missing").when(F.col("x.offset").isNull(), "extra").otherwise("altered")
-            return both.select(*picked, F.coalesce("x.length", "y.length").alias("length"), kind.alias("kind"), F.col("x.digest").alias("digest"), F.col("y.digest").alias("found")).select("file", "offset", "length", "kind", "digest", "found")
-        differing, parent = both.select(*picked), keys
+        if keys is not LEVELS[-1]:
+            differing, parent = materialize(both.select(*picked), "differing"), keys
+            used.append(differing)
+    kind = F.when(F.col("y.offset").isNull(), "missing").when(F.col("x.offset").isNull(), "extra").otherwise("altered")
+    out = both.select(*picked, F.coalesce("x.length", "y.length").alias("length"), kind.alias("kind"), F.col("x.digest").alias("digest"), F.col("y.digest").alias("found")).select("file", "offset", "length", "kind", "digest", "found")
+    out = materialize(out, "faults")
+    release(*used)
+    return out
 
 
 def damaged(records: DataFrame) -> DataFrame:

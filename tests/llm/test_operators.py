@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, repeats and clashing columns, and against plain versions."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pyarrow as pa
@@ -106,7 +107,7 @@ def test_tree_bound_loses_nothing():
     level = rng.integers(0, 9, jaccard_join.COUNTERS).astype(np.uint16)
     kept = jaccard_join.prefixes(sets, level, 90)
     assert max(map(len, kept)) < 40
-    found = {(min(a, b), max(a, b)) for x, y in jaccard_join.tree_pairs(points, sizes, np.arange(80), np.full(80, 2), 90) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    found = {(min(a, b), max(a, b)) for x, y in jaccard_join.tree_pairs(jaccard_join.coarse_of(points), jaccard_join.parity_of(points), sizes, np.arange(80), np.full(80, 2), 90) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     for i in range(80):
         for j in range(i + 1, 80):
             both = len(np.intersect1d(sets[i], sets[j]))
@@ -149,10 +150,41 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
-def test_near_fingerprints(spark):
-    rows = spark.createDataFrame([(0, 0), (0, 7), (1 << 40, 7), (-1, -1), (0, 0)], "fp_hi long, fp_lo long")
-    got = {(r.a_hi, r.a_lo, r.b_hi, r.b_lo): r.distance for r in fingerprints.near_fingerprints(rows, radius=4, blocks=6).collect()}
-    assert got == {(0, 0, 0, 7): 3, (0, 0, 1 << 40, 7): 4, (0, 7, 1 << 40, 7): 1}
+def test_near_fingerprints(spark, monkeypatch):
+    """Against all pairs: nothing within the radius is lost, keys that very many share included."""
+    monkeypatch.setattr(fingerprints, "PIECE", 16)
+    rng = random.Random(3)
+    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(6)]
+    flip = lambda f, k: tuple(x ^ sum(1 << b - 64 * i for b in rng.sample(range(128), k) if b // 64 == i) for i, x in enumerate(f))
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    made = [tuple(map(sign, flip(base[0], rng.randint(0, 6)) if i % 3 else flip(rng.choice(base), rng.randint(0, 12)))) for i in range(300)]
+    rows = spark.createDataFrame(made + made[:20], "fp_hi long, fp_lo long")
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+    for radius, blocks in ((4, 6), (10, 12)):
+        asked = made[::7]
+        near = fingerprints.near_fingerprints(rows, spark.createDataFrame(asked, "fp_hi long, fp_lo long"), radius, blocks)
+        got = [((r.fp_hi, r.fp_lo), (x.fp_hi, x.fp_lo), x.times, x.distance) for r in near.collect() for x in r.near]
+        counts = Counter(made + made[:20])
+        want = {(a, b, counts[b], apart(a, b)) for a in set(asked) for b in counts if apart(a, b) <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_simhash_against_a_plain_one(spark, docs, monkeypatch):
+    """Votes of hashed five-word shingles, also where a text's votes are summed in many chunks."""
+    monkeypatch.setattr(fingerprints, "_CHUNK", 50)
+    texts = [" ".join(f"w{(i * 37) % 211}" for i in range(n)) for n in (0, 1, 4, 5, 60, 700)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    shingles = fingerprints._shingles(fingerprints._words(F.col("t")))
+    terms = {r.id: r.h for r in rows.select("id", fingerprints._words(F.col("t")).alias("w")).select("id", fingerprints._shingles(F.col("w")).alias("s")).select("id", F.transform("s", lambda h: F.struct(h.alias("a"), F.xxhash64(h, F.lit(128)).alias("b"))).alias("h")).collect()}
+    got = {r.id: (r.fp_hi, r.fp_lo) for r in fingerprints.simhash(rows, ["id"], "t").collect()}
+    for i, hashes in terms.items():
+        want = []
+        for side in ("a", "b"):
+            votes = [sum(1 if (h[side] >> j) & 1 else -1 for h in hashes) for j in range(64)]
+            bits = sum(1 << j for j, v in enumerate(votes) if v > 0)
+            want.append(bits - (1 << 64) if bits >> 63 else bits)
+        assert got[i] == tuple(want), i
+    assert shingles is not None
 
 
 def test_sentencepieces(spark, docs, empty):
