@@ -41,11 +41,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; copies are rows of their own."""
-    _, rule = mixing.mix(docs)
-    whole = F.struct(*docs.columns)
-    rows = docs.select(whole.alias("__doc"), F.col("doc_id").alias("__id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"))
-    taken = mixing.copies(rows, rule).where("copies > 0")
-    return taken.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__doc.*")
+    return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
