@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 #: Fixed values of the HTML standard.
@@ -223,23 +224,152 @@ def serialise(root: Node) -> str:
     return "".join(out)
 
 
-_SIMPLE = re.compile(r"([.#]?)([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
+_COMPOUND = re.compile(
+    r"""(?P<any>\*)|(?P<tag>[A-Za-z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
+    |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<q>[^"]*)"|'(?P<s>[^']*)'|(?P<bare>[^\s\]]+))\s*)?\]
+    |:(?P<pseudo>[a-z-]+)(?P<call>\()?""",
+    re.X,
+)
+#: Whether an attribute's value fits, by operator; an empty operand of the last three fits nothing.
+_FITS = {
+    "=": lambda have, want: have == want, "~=": lambda have, want: want in have.split(), "|=": lambda have, want: have == want or have.startswith(want + "-"),
+    "^=": lambda have, want: bool(want) and have.startswith(want), "$=": lambda have, want: bool(want) and have.endswith(want), "*=": lambda have, want: bool(want) and want in have,
+}
+Test = Callable[[Node], bool]
+
+
+def _siblings(node: Node) -> list[Node]:
+    return [c for c in node.parent.children if c.is_element] if node.parent is not None else [node]
+
+
+def _nth(formula: str) -> Callable[[int], bool]:
+    """Whether a position from 1 is in an+b."""
+    bare = formula.replace(" ", "").lower()
+    bare = {"odd": "2n+1", "even": "2n"}.get(bare, bare)
+    m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|([+-]?\d+)", bare)
+    if m is None:
+        raise ValueError(f"unknown selector formula {formula!r}")
+    if m[3]:
+        return lambda k: k == int(m[3])
+    step, first = int(m[1] + "1" if m[1] in ("", "+", "-") else m[1]), int(m[2] or 0)
+    return lambda k: (k == first) if step == 0 else ((k - first) % step == 0 and (k - first) // step >= 0)
+
+
+def _pseudo(name: str, inside: str | None) -> Test:
+    if inside is None:
+        plain: dict[str, Test] = {
+            "first-child": lambda n: _siblings(n)[0] is n, "last-child": lambda n: _siblings(n)[-1] is n, "only-child": lambda n: len(_siblings(n)) == 1,
+            "first-of-type": lambda n: next(c for c in _siblings(n) if c.tag == n.tag) is n, "last-of-type": lambda n: [c for c in _siblings(n) if c.tag == n.tag][-1] is n,
+            "empty": lambda n: not any(c.is_element or c.tag == "#text" and c.data for c in n.children), "root": lambda n: n.tag == "html",
+        }
+        if name in plain:
+            return plain[name]
+    elif name in ("not", "is", "where", "has"):
+        inner = compile_selector(inside)
+        if name == "has":
+            return lambda n: any(inner(c) for c in n.walk() if c is not n)
+        return (lambda n: not inner(n)) if name == "not" else inner
+    elif name in ("nth-child", "nth-of-type", "nth-last-child"):
+        at = _nth(inside)
+
+        def place(n: Node) -> bool:
+            among = [c for c in _siblings(n) if name != "nth-of-type" or c.tag == n.tag]
+            k = among.index(n)
+            return at(len(among) - k if name == "nth-last-child" else k + 1)
+
+        return place
+    raise ValueError(f"unknown pseudo-class :{name}")
+
+
+def _closing(text: str, at: int) -> int:
+    """Where the parenthesis that is open at a place closes."""
+    depth = 1
+    for k in range(at, len(text)):
+        depth += {"(": 1, ")": -1}.get(text[k], 0)
+        if not depth:
+            return k
+    raise ValueError(f"unclosed parenthesis in selector {text!r}")
+
+
+def _compound(text: str, at: int) -> tuple[Test, int]:
+    tests: list[Test] = []
+    start = at
+    while (m := _COMPOUND.match(text, at)) is not None and m.end() > at:
+        at = m.end()
+        if m["tag"]:
+            tests.append(lambda n, want=m["tag"].lower(): n.tag == want)
+        elif m["cls"]:
+            tests.append(lambda n, want=m["cls"]: want in n.attrs.get("class", "").split())
+        elif m["id"]:
+            tests.append(lambda n, want=m["id"]: n.attrs.get("id") == want)
+        elif m["attr"]:
+            name, fits = m["attr"].lower(), _FITS.get(m["op"])
+            value = next((v for v in (m["q"], m["s"], m["bare"]) if v is not None), "")
+            tests.append(lambda n, name=name, fits=fits, value=value: name in n.attrs and (fits is None or fits(n.attrs[name], value)))
+        elif m["pseudo"]:
+            inside = None
+            if m["call"]:
+                close = _closing(text, at)
+                inside, at = text[at:close], close + 1
+            tests.append(_pseudo(m["pseudo"], inside))
+    if at == start:
+        raise ValueError(f"unknown selector syntax at {text[at:]!r}")
+    return (lambda n: n.is_element and all(t(n) for t in tests)), at
+
+
+def _above(node: Node) -> Iterator[Node]:
+    while (node := node.parent) is not None:
+        yield node
+
+
+def _before(node: Node) -> list[Node]:
+    among = _siblings(node)
+    return among[: next(i for i, c in enumerate(among) if c is node)]
+
+
+def _one(text: str) -> Test:
+    """A selector without commas: compounds joined by space, ``>``, ``+`` and ``~``."""
+    test, at = _compound(text, 0)
+    while at < len(text):
+        m = re.compile(r"\s*([>+~])\s*|\s+").match(text, at)
+        if m is None:
+            raise ValueError(f"unknown selector syntax at {text[at:]!r}")
+        left, how = test, m[1]
+        right, at = _compound(text, m.end())
+
+        def joined(n: Node, left: Test = left, right: Test = right, how: str | None = how) -> bool:
+            if not right(n):
+                return False
+            if how == ">":
+                return n.parent is not None and left(n.parent)
+            if how == "+":
+                return any(left(c) for c in _before(n)[-1:])
+            return any(left(c) for c in (_before(n) if how == "~" else _above(n)))
+
+        test = joined
+    return test
+
+
+@cache
+def compile_selector(selector: str) -> Test:
+    """Whether an element matches a list of selectors; syntax that isn't known is an error.
+
+    Tags, classes, ids, attributes with all operators, the four combinators, :not, :is, :where,
+    :has, and the positional pseudo-classes.
+    """
+    parts, depth, start = [], 0, 0
+    for k, char in enumerate(selector):
+        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(char, 0)
+        if char == "," and not depth:
+            parts.append(selector[start:k])
+            start = k + 1
+    tests = [_one(p.strip()) for p in (*parts, selector[start:])]
+    return tests[0] if len(tests) == 1 else lambda n: any(t(n) for t in tests)
 
 
 def matches(node: Node, selector: str) -> bool:
-    """Whether an element has a compound selector's tag, classes, id and attributes; ``*`` is any element."""
-    if not node.is_element:
-        return False
-    for kind, name, attr, value in _SIMPLE.findall(selector):
-        if attr:
-            fits = attr in node.attrs and (not value or node.attrs[attr] == value)
-        elif kind == ".":
-            fits = name in node.attrs.get("class", "").split()
-        else:
-            fits = (node.attrs.get("id") if kind == "#" else node.tag) == name
-        if not fits:
-            return False
-    return True
+    """Whether a node is an element that the selector matches."""
+    return node.is_element and compile_selector(selector)(node)
 
 
 def roots(document: Node, include: tuple[str, ...]) -> list[Node]:

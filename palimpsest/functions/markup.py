@@ -2,49 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from palimpsest.functions import text as T
 
 CSS_URL = r"""url\(\s*(?:"[^"]*"|'[^']*'|[^"'()\s]+)\s*\)"""
-SPANS = StructType([StructField(name, ArrayType(StringType())) for name in ("texts", "spans")])
-
-
-def split_code_spans(text: str | None) -> tuple[list[str], list[str]] | None:
-    """(texts, spans) around fences of backticks, one text more than spans; None if a fence isn't closed."""
-    if text is None:
-        return None
-    texts, spans, at = [], [], 0
-    while (start := text.find("`", at)) >= 0:
-        width = _run(text, start)
-        close = start + width
-        while (close := text.find("`", close)) >= 0 and _run(text, close) != width:
-            close += _run(text, close)
-        if close < 0:
-            return None
-        texts.append(text[at:start])
-        spans.append(text[start + width : close])
-        at = close + width
-    return [*texts, text[at:]], spans
-
-
-def _run(text: str, at: int) -> int:
-    end = at
-    while end < len(text) and text[end] == "`":
-        end += 1
-    return end - at
-
-
-@F.pandas_udf(SPANS)
-def code_spans(texts: pd.Series) -> pd.DataFrame:
-    """Struct of texts and spans; both null if a fence isn't closed. A scan with state, so in batches of Python."""
-    found = [split_code_spans(t) or (None, None) for t in texts]
-    return pd.DataFrame({"texts": [f[0] for f in found], "spans": [f[1] for f in found]})
+#: The classes of light markup that are counted, in text without code.
+MARKUP = {
+    "bold": r"\*\*[^*\n][\s\S]*?\*\*", "underlined": r"__[^_\n][\s\S]*?__", "struck": r"~~[^~\n][\s\S]*?~~",
+    "images": r"!\[[^\]]+\]\([^)]+\)", "links": r"(?<!!)\[[^\]]+\]\([^)]+\)",
+}
+#: How a report names them.
+MARKUP_NAMES = {"bold": "boldAsterisk", "underlined": "boldUnderscore", "struck": "strike", "images": "image", "links": "link"}
 
 
 def fence(code: Column) -> Column:
@@ -55,19 +28,32 @@ def fence(code: Column) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """Struct of counts of bold, underlined and struck text, images and links."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    return F.struct(
-        count(r"\*\*.+?\*\*").alias("bold"), count("__.+?__").alias("underlined"), count("~~.+?~~").alias("struck"),
-        count(r"!\[[^\]]*\]\([^)]*\)").alias("images"), count(r"(?<!!)\[[^\]]*\]\([^)]*\)").alias("links"),
-    )
+    """Struct of counts of bold, underlined and struck text, images and links outside code."""
+    plain = T.without_code(text)
+    return F.struct(*[F.regexp_count(plain, F.lit(pattern)).alias(name) for name, pattern in MARKUP.items()])
 
 
 def markup_mismatch(source: Column, target: Column) -> Column:
     """True if a class of markup that the source has is not as frequent in the target."""
     s, t = signature(source), signature(target)
-    broken = [(s[c] > 0) & (s[c] != t[c]) for c in ("bold", "underlined", "struck", "images", "links")]
-    return F.greatest(*[F.coalesce(b, F.lit(False)) for b in broken])
+    return F.greatest(*[F.coalesce((s[c] > 0) & (s[c] != t[c]), F.lit(False)) for c in MARKUP])
+
+
+def match_codes(expected: Column, found: Column) -> Column:
+    """For each code found, the place of the expected one that it stands for; null unless it is a permutation.
+
+    ``expected`` and ``found`` are arrays of texts; equal codes are matched in order.
+    """
+    nth = lambda x, i: F.size(F.filter(F.slice(found, 1, i), lambda y: y == x))
+    places = lambda x: F.filter(F.transform(expected, lambda e, k: F.when(e == x, k)), lambda k: k.isNotNull())
+    return F.when(F.array_sort(expected) == F.array_sort(found), F.transform(found, lambda x, i: F.get(places(x), nth(x, i))))
+
+
+def slot_texts(texts: Column, slots: Column) -> Column:
+    """The non-blank texts dealt to so many slots in order; the last slot takes all that remain, others may be empty."""
+    seen = F.filter(texts, lambda t: t != "")
+    rest = F.array_join(F.slice(seen, F.greatest(slots, F.lit(1)), F.greatest(F.size(seen), F.lit(1))), "")
+    return F.transform(F.sequence(F.lit(1), slots), lambda k: F.when(k < slots, F.coalesce(F.get(seen, k - 1), F.lit(""))).otherwise(rest))
 
 
 def css_urls(style: Column) -> Column:
@@ -76,6 +62,20 @@ def css_urls(style: Column) -> Column:
     return F.transform(calls, lambda c: F.regexp_replace(c, r"""^url\(\s*["']?|["']?\s*\)$""", ""))
 
 
+def rewrite_style(style: str, target: Callable[[str], str | None]) -> str:
+    """A style with each url() value put through ``target``, quotes and space as they are; None leaves a value alone."""
+
+    def one(call: re.Match) -> str:
+        inner = call[0][4:-1]
+        value = inner.strip()
+        quote = value[0] if value[:1] in ("'", '"') else ""
+        bare = value[1:-1] if quote else value
+        new = target(bare)
+        return call[0] if new is None else f"url({inner.replace(value, quote + new + quote, 1)})"
+
+    return re.sub(CSS_URL, one, style)
+
+
 def rewrite_srcset(srcset: Column, target: Callable[[Column], Column]) -> Column:
     """A source set with each url put through ``target``; descriptors stay, blank candidates go."""
     parts = F.filter(F.transform(F.split(srcset, ","), T.normalize), lambda p: p != "")
@@ -83,9 +83,10 @@ def rewrite_srcset(srcset: Column, target: Callable[[Column], Column]) -> Column
 
 
 def clean_response(raw: Column) -> Column:
-    """A model's answer without byte order mark, thinking blocks and code fences."""
-    bare = F.regexp_replace(F.regexp_replace(raw, r"^\x{FEFF}", ""), r"(?is)<think>.*?</think>", "")
-    return T.normalize_ends(F.regexp_replace(T.normalize_ends(bare), r"(?i)^```(?:json)?\s*|\s*```$", ""))
+    """A model's answer without byte order mark and thinking blocks, and without code fences if they hold all of it."""
+    bare = T.normalize_ends(F.regexp_replace(T.normalize_ends(raw), r"(?i)<think\b[^>]*>[\s\S]*?</think>", ""))
+    inner = F.regexp_extract(bare, r"^(?i)```(?:json)?\s*([\s\S]*?)\s*```$", 1)
+    return F.when(inner != "", T.normalize_ends(inner)).otherwise(bare)
 
 
 def json_object(raw: Column) -> Column:
@@ -106,9 +107,16 @@ def html_safe(json: Column) -> Column:
 
 
 def has_term(text: Column, term: str) -> Column:
-    """Whether a text holds a term: as a whole word in any case if it is plain ASCII, else as it is."""
-    import re
-
-    if re.fullmatch(r"[A-Za-z0-9_-]+", term):
-        return text.rlike(rf"(?i)(?:^|[^A-Za-z0-9_]){re.escape(term)}(?:$|[^A-Za-z0-9_])")
-    return text.contains(term)
+    """Whether a text holds a term, in any case and with white space collapsed; a blank term is in none.
+
+    A term of ASCII letters, digits, underscores and dashes has to stand between word boundaries.
+    """
+    bare = re.sub(r"\s+", " ", term.replace("\ufeff", " ")).strip()
+    if not bare:
+        return F.lit(False)
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", bare):
+        return F.contains(F.lower(T.normalize(text)), F.lower(F.lit(bare)))
+    word = "[A-Za-z0-9_]"
+    first = f"(?<={word})" if bare[0] == "-" else f"(?<!{word})"
+    last = f"(?={word})" if bare[-1] == "-" else f"(?!{word})"
+    return T.normalize(text).rlike(f"(?iu){first}{re.escape(bare)}{last}")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 #: Fixed value: the white space of ECMAScript's \s, as a class both Java and RE2 read.
 WHITE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Fixed value: placeholders that a translation has to keep, in order of precedence.
-PLACEHOLDER = r"\{\{[^{}]+\}\}|\{[A-Za-z0-9_.-]+\}|%(?:\d+\$)?[+#0\- ]*(?:\d+|\*)?(?:\.\d+)?[sdifo]|</?\d+>|\$[A-Z_][A-Z0-9_]*"
-LIST_MARKER = r"^\s*(?:[-*+]|\d+[.)])\s+"
+PLACEHOLDER = r"\{\{[^{}]+\}\}|\{[A-Za-z0-9_.-]+\}|%(\d+\$)?[+#0\- ]*(?:\d+|\*)?(?:\.(?:\d+|\*))?[sdifo]|<\/?\d+>|\$[A-Z_][A-Z0-9_]*"
+#: Fixed value: the list marker, or task box, that a translation has to begin with.
+LIST_MARKER = rf"^{WHITE}*(?:[-*+]{WHITE}+\[(?: |x|X)\]|[-*+]|\d+\.){WHITE}+"
+#: A text, the fence of backticks after it, the code, and the same fence; always from where the last one ended.
+_SPAN = r"\G([^`]*)(`++)([\s\S]*?)\2"
 
 
 def normalize(text: Column) -> Column:
@@ -47,15 +50,65 @@ def file_stamp(timestamp: Column) -> Column:
 
 
 def list_marker(text: Column) -> Column:
+    """The marker with the white space around it; the empty text if there is none."""
     return F.regexp_extract(text, f"({LIST_MARKER})", 1)
 
 
+def code_spans(text: Column) -> Column:
+    """Struct of texts and spans, one text more than spans; null if a fence isn't closed.
+
+    A fence is a whole run of backticks where the text before it ends, and is closed by the next
+    place that has as many, whether more follow or not.
+    """
+    rest = F.regexp_replace(text, _SPAN, "")
+    both = F.struct(F.array_append(F.regexp_extract_all(text, F.lit(_SPAN), 1), rest).alias("texts"), F.regexp_extract_all(text, F.lit(_SPAN), 3).alias("spans"))
+    return F.when(~F.contains(rest, F.lit("`")), both)
+
+
+def without_code(text: Column) -> Column:
+    """The texts around code joined by spaces; the text as it is if a fence isn't closed."""
+    return F.coalesce(F.array_join(code_spans(text)["texts"], " "), text)
+
+
 def comparable(text: Column) -> Column:
-    """What is left to compare once placeholders, punctuation and case are gone."""
-    bare = F.regexp_replace(F.regexp_replace(text, PLACEHOLDER, " "), r"[\p{P}\p{S}]+", " ")
-    return F.lower(normalize(bare))
+    """What is left to compare once code, placeholders, punctuation and case are gone."""
+    bare = F.regexp_replace(normalize(without_placeholders(without_code(text))), r"[\p{P}\p{S}]+", " ")
+    return F.lower(normalize_ends(bare))
 
 
 def sha(*parts: Column) -> Column:
     """sha256 of the parts joined by two colons; a null part is empty."""
     return F.sha2(F.concat_ws("::", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def json_list(texts: Column) -> Column:
+    """An array of texts as a JSON list."""
+    return F.to_json(texts)
+
+
+def plural(count: Column, noun: str) -> Column:
+    """``1 page``, ``2 pages``."""
+    return F.concat(count.cast("string"), F.lit(f" {noun}"), F.when(count == 1, F.lit("")).otherwise(F.lit("s")))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most so many characters, the last three of them dots if some were left out."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, max(0, most - 3)), F.lit("...")))
+
+
+def run_duration(ms: Column) -> Column:
+    """Milliseconds, to the nearest second, as ``42s`` or ``3m 5s``."""
+    s = F.greatest(F.lit(0), F.floor(ms / 1000 + 0.5)).cast("long")
+    return F.when(s < 60, F.format_string("%ds", s)).otherwise(F.format_string("%dm %ds", F.floor(s / 60), s % 60))
+
+
+def stage_duration(ms: Column) -> Column:
+    """Milliseconds as ``850ms``, ``4.2s`` or, from ten seconds, ``42s``."""
+    seconds = ms.cast("double") / 1000
+    return F.when(ms < 1000, F.format_string("%dms", ms.cast("long"))).when(ms < 10_000, F.format_string("%.1fs", seconds)).otherwise(F.format_string("%.0fs", seconds))
+
+
+def chunk_range(heading: Column, first: Column, last: Column) -> Column:
+    """``items 1-4``, with the heading if there is one."""
+    items = F.format_string("items %d-%d", first, last)
+    return F.when(F.coalesce(heading, F.lit("")) == "", items).otherwise(F.concat(items, F.lit(', heading "'), truncated(heading, 60), F.lit('"')))
