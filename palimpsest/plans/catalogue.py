@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
-from palimpsest.operators import chunks, crawl, site, state, verify
+from palimpsest.operators import apply, chunks, crawl, site, state, tasks, verify
+from palimpsest.plans.oracles import SITE, oracle_sql  # noqa: F401
+from palimpsest.plans.store import stored, workdir
 from palimpsest.session import table
-from palimpsest.streaming import incremental
+from palimpsest.streaming import incremental, progress
 
 FLAGSHIP = "pending"
 NOW = "2026-01-01T00:00:00.000Z"
-_SITE = "https://docs.example.com/d/"
+GLOSSARY = (("and", "und"), ("the", "das"), ("a", "ein"))
+ORIGIN = "https://docs.example.com"
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each non-blank line of a document as a text segment of a page."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "source_text"))
-    url, dom = F.concat(F.lit(_SITE), F.col("doc_id").cast("string")), F.concat(F.lit("root[0]/p["), F.col("pos").cast("string"), F.lit("]/#text[0]"))
-    seg = lines.select("doc_id", "pos", url.alias("page_url"), dom.alias("dom_path"), "source_text", T.normalize(F.col("source_text")).alias("norm")).where("norm <> ''")
-    none = F.lit("")
-    return seg.withColumns({
-        "segment_id": T.sha(F.col("page_url"), F.col("dom_path"), F.lit("text"), none),
-        "reuse_key": T.sha(F.col("page_url"), F.lit("text"), none, F.lit("p"), none, F.col("norm")),
-        "source_hash": F.sha2("norm", 256),
-    })
+    """Each non-blank line of a document as a text segment of a page: the state that extraction leaves."""
+
+    def make() -> DataFrame:
+        lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "source_text"))
+        url, dom = F.concat(F.lit(SITE), F.col("doc_id").cast("string")), F.concat(F.lit("root[0]/p["), F.col("pos").cast("string"), F.lit("]/#text[0]"))
+        seg = lines.select("doc_id", "pos", url.alias("page_url"), dom.alias("dom_path"), "source_text", T.normalize(F.col("source_text")).alias("norm")).where("norm <> ''")
+        none = F.lit("")
+        return seg.withColumns({
+            "segment_id": T.sha(F.col("page_url"), F.col("dom_path"), F.lit("text"), none),
+            "reuse_key": T.sha(F.col("page_url"), F.lit("text"), none, F.lit("p"), none, F.col("norm")),
+            "source_hash": F.sha2("norm", 256),
+        })
+
+    return stored(spark, "segments", [f"{sf_dir}/documents.parquet"], make)
 
 
 def translations(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataFrame:
@@ -42,6 +48,110 @@ def translations(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataF
     return seg.select(ident.alias("segment_id"), "reuse_key", F.concat(F.lit("t:"), "norm").alias("translated_text"), (F.col("source_hash") if moved else old).alias("source_hash"), status.alias("status"), F.lit("2025-01-01T00:00:00.000Z").alias("updated_at"))
 
 
+def bundles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Stand-in tasks over all segments, their mappings, and results with faults of every kind in two of three documents."""
+    c, lit = F.col, F.lit
+    pick = lambda n, table_: F.coalesce(*[F.when(n == k, v) for k, v in table_.items()], c("text"))
+
+    def make() -> DataFrame:
+        page = W.partitionBy("page_url").orderBy("pos")
+        s = segments(spark, sf_dir).withColumns({"p": (F.row_number().over(page) - 1).cast("int"), "n": F.count(lit(1)).over(W.partitionBy("page_url"))})
+        v = c("p") % 12
+        s = s.withColumn("text", c("norm"))
+        text = pick(v, {
+            1: F.concat(lit("- "), "norm"), 2: F.concat(lit("- [x] "), "norm"), 3: F.concat(lit("**"), "norm", lit("** and __b__")), 4: F.concat("norm", lit(" {{name}} %.*f")),
+            5: F.concat(lit("Use `a` or ``b`` "), "norm"), 6: F.concat(lit("[l](u) ![i](v) "), "norm"),
+        })
+        s = s.withColumns({"text": text, "v": v, "task_id": tasks.task_id("page_url"), "id": (c("p") + 1).cast("string")})
+        swapped = F.when(c("v") == 5, F.concat(lit("Use ``b`` or `a` "), "norm")).otherwise(F.concat("text", lit(" neu")))
+        w = F.when(c("doc_id") % 3 == 0, lit(5)).otherwise((c("doc_id") + c("p")) % 7)
+        told = pick(w, {0: F.concat(lit("neu "), "text"), 2: lit(" "), 3: F.regexp_replace("text", r"[{*`\[]", ""), 4: F.concat("text", lit(" neu")), 5: swapped, 6: F.concat("text", lit(" `x"))})
+        return s.select("doc_id", "page_url", "task_id", "p", "n", "id", "v", "text", "norm", "segment_id", "source_hash", "reuse_key", told.alias("translated_text"))
+
+    every = stored(spark, "bundles", [f"{sf_dir}/documents.parquet"], make)
+    fault = lambda m, p: (c("doc_id") % 3 != 0) & (c("doc_id") % m == 0) & (c("p") == p)
+    ref = F.array(F.struct(F.when(fault(19, 4), F.concat(lit("gone"), "segment_id")).otherwise(c("segment_id")).alias("segment_id"), F.when(fault(17, 3), F.concat(lit("x"), "source_hash")).otherwise(c("source_hash")).alias("source_hash")))
+    code = F.array(*[F.struct(lit(t).alias("text"), lit(f"root[0]/code[{k}]").alias("dom_path")) for k, t in enumerate("ab")])
+    inline = c("v") == 5
+    mapping = every.where(~fault(13, 2)).select("task_id", c("p").alias("pos"), "id", F.when(inline, "inline-code").otherwise("segment").alias("kind"), ref.alias("segments"), F.when(inline, code).otherwise(F.array_remove(code, code[0])).alias("codes"), F.when(inline, F.array(lit(0))).otherwise(F.array().cast("array<int>")).alias("slots"))
+    mapping = mapping.withColumn("codes", F.when(F.col("kind") == "segment", F.slice("codes", 1, 0)).otherwise(F.col("codes")))
+    items = every.select("task_id", c("p").alias("pos"), "id", "text")
+    lost = (c("doc_id") % 3 != 0) & (c("doc_id") % 7 == 0) & (c("p") == c("n") - 1)
+    answers = every.where(~lost).select("task_id", c("p").alias("pos"), F.when(fault(5, 1), lit("1")).otherwise(c("id")).alias("id"), "translated_text")
+    heads = every.select("task_id", "doc_id").distinct()
+    named = F.when((c("doc_id") % 3 != 0) & (c("doc_id") % 11 == 0), lit("other")).otherwise(c("task_id"))
+    results = heads.select("task_id", named.alias("named_id"), F.concat("task_id", lit(".json")).alias("file"), lit("openai").alias("provider"), lit("m").alias("model"), lit(NOW).alias("completed_at"))
+    return {"every": every, "items": items, "mapping": mapping, "results": results, "answers": answers, "segments": every.select("segment_id", "source_hash", "reuse_key")}
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in tries of a crawl: each different href of the pages is a url of one site, served with some page's source, now and then failing."""
+    c = F.col
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    hrefs = crawl.anchors(pages).select("href").distinct()
+    ranked = hrefs.withColumn("r", F.row_number().over(W.orderBy("href")) - 1)  # a summary of the navigation, not the data
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    known = ranked.crossJoin(F.broadcast(n)).withColumn("page_id", (c("r") % c("n")).cast("long")).unionByName(n.select(F.lit("/").alias("href"), F.lit(5).alias("r"), "n", F.lit(0).cast("long").alias("page_id")))
+    r = c("r")
+    status = F.when(r % 29 == 0, F.lit(None).cast("int")).when(r % 17 == 0, 404).when((r % 23 == 0) | ((r % 19 == 0) & (c("attempt") == 0)), 503).otherwise(200)
+    kind = F.when(r % 13 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    body = known.join(pages, "page_id").withColumn("attempt", F.explode(F.array(*map(F.lit, range(3)))))
+    return body.select(F.concat(F.lit(ORIGIN), "href").alias("url"), "attempt", status.alias("status"), F.when(r % 29 == 0, "ETIMEDOUT").alias("code"), F.when(r % 29 == 0, "timeout of 15000ms").alias("message"), kind.alias("content_type"), c("html").alias("body"))
+
+
+def _canonical_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with urls as a crawler asks for them."""
+    from palimpsest.functions import weburl
+
+    given = answers(spark, sf_dir)
+    names = given.select("url").distinct()
+
+    def plain(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"url": b["url"], "asked": [weburl.parse(u).canonical() for u in b["url"]]})
+
+    return given.join(names.mapInPandas(plain, "url string, asked string"), "url").drop("url").withColumnRenamed("asked", "url")
+
+
+ROBOTS = "User-agent: *\nDisallow: /d\nAllow: /de\nDisallow: /*ing$\n\nUser-agent: other\nDisallow: /\n"
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    workdir(spark)
+    return crawl.crawl(_canonical_answers(spark, sf_dir), crawl.Site(f"{ORIGIN}/", exclude=("/th",)), crawl.robots_rules(ROBOTS, "mirror-bot/1.0"))
+
+
+def _crawl_pages(spark, d):
+    return _crawl(spark, d)["pages"].select("url", "depth", "status", "output_path")
+
+
+def _crawl_assets(spark, d):
+    return _crawl(spark, d)["assets"].select("url", "content_type", "output_path")
+
+
+def _crawl_issues(spark, d):
+    return _crawl(spark, d)["issues"].select("kind", "url", "status", "code", "attempt_count")
+
+
+def _crawl_stats(spark, d):
+    return _crawl(spark, d)["stats"]
+
+
+def _robots(spark, d):
+    pages = table(spark, d, "pages").select("page_id", U.path(F.col("url")).alias("path"))
+    rules = crawl.robots_rules("User-agent: *\nDisallow: /e\nAllow: /en/1\nDisallow: /*5$\nDisallow: /fr/*3", "any")
+    return pages.select("page_id", crawl.allowed_by(rules, F.col("path")).alias("allowed"))
+
+
+def _mime(spark, d):
+    body = F.when(F.col("event_id") % 5 == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).when(F.col("event_id") % 5 == 1, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.unhex(F.lit("00112233")))
+    url = F.concat(F.lit("http://h/a"), F.element_at(F.array(*map(F.lit, (".css", ".PNG", "", ".unheard", "/x.woff2?v=1"))), (F.col("user_id") % 5 + 1).cast("int")))
+    said = F.when(F.col("event_type") == "view", "text/html")
+    return table(spark, d, "events").select("event_id", crawl.content_type(said, body, url).alias("content_type"))
+
+
 def _page_manifest(spark, d):
     return crawl.page_manifest(table(spark, d, "pages"))
 
@@ -68,12 +178,12 @@ def _public_paths(spark, d):
 
 
 def _reachability(spark, d):
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-    pages = table(spark, d, "pages").select("page_id")
-    n = pages.agg(F.count(F.lit(1)).alias("n"))
-    edges = pages.crossJoin(F.broadcast(n)).select(F.col("page_id").alias("src"), F.explode(F.array((F.col("page_id") * 7 + 3) % F.col("n"), (F.col("page_id") * 2 + 1) % F.col("n"))).alias("dst"))
-    return crawl.reachable(edges, pages.where("page_id = 0").select(F.col("page_id").alias("node")))
+    """What the first page reaches by the navigation links that pages share."""
+    workdir(spark)
+    pages = table(spark, d, "pages").select("page_id", U.canonical(F.col("url")).alias("url"), "html")
+    links = crawl.anchors(pages).join(pages.select("page_id", "url"), "page_id").select("url", "href").distinct()
+    edges = links.select(F.col("url").alias("src"), F.col("href").alias("dst")).unionByName(links.select(F.col("href").alias("src"), F.col("url").alias("dst")))
+    return crawl.reachable(edges, pages.where("page_id = 0").select(F.col("url").alias("node")))
 
 
 def _mark_stale(spark, d):
@@ -94,13 +204,82 @@ def _doctor(spark, d):
 
 def _task_items(spark, d):
     todo = state.pending(segments(spark, d), translations(spark, d))
-    task = F.concat(F.lit("task_"), F.substring(F.sha2("page_url", 256), 1, 10))
-    return todo.select(task.alias("task_id"), verify.numbered(todo, "page_url", "pos").alias("id"), F.col("source_text").alias("text"))
+    return todo.select(tasks.task_id("page_url").alias("task_id"), verify.numbered(todo, "page_url", "pos").alias("id"), F.col("source_text").alias("text"))
+
+
+def _units(spark, d) -> DataFrame:
+    """Segments as units of one member each."""
+    one = F.array(F.struct("segment_id", "source_hash"))
+    none = F.array().cast("array<struct<text:string,dom_path:string>>")
+    return segments(spark, d).select("page_url", F.col("pos").alias("ord"), F.col("source_text").alias("text"), F.lit("T").alias("title"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("attribute_name"), F.lit("p").alias("tag_name"), one.alias("segments"), none.alias("codes"), F.array().cast("array<int>").alias("slots"))
+
+
+def _task_plan(spark, d):
+    plan = tasks.planned(_units(spark, d), state.pending(segments(spark, d), translations(spark, d)))
+    last = F.element_at("items", -1)
+    return plan.select(tasks.task_id("page_url").alias("task_id"), "n_items", "source_chars", last["id"].alias("last_id"), last["segments"][0]["segment_id"].alias("last_segment"))
+
+
+def _reconcile(spark, d):
+    plan = tasks.planned(_units(spark, d), state.pending(segments(spark, d), translations(spark, d)))
+    number = F.regexp_extract("page_url", r"(\d+)$", 1).cast("long")
+    old = plan.withColumns({"n": number, "task_id": tasks.task_id("page_url"), "source_url": F.lit(SITE), "target_locale": F.when(number % 5 == 0, "yy").otherwise("xx"), "readable": number % 7 != 0})
+    old = old.where("n % 3 <> 0").withColumn("title", F.when(F.col("n") % 11 == 0, "Old").otherwise(F.col("title")))
+    old = old.withColumn("file", F.explode(F.when(F.col("n") % 4 == 0, F.array(F.lit("b.json"), F.lit("a.json"))).otherwise(F.array(F.lit("a.json"))))).drop("n", "n_items", "source_chars")
+    retained, invalid, created = tasks.reconcile(old, plan, SITE, "xx")
+    rows = lambda df, what, file: df.select("page_url", "task_id", file.alias("file"), F.lit(what).alias("outcome"))
+    return rows(retained, "retained", F.col("file")).unionByName(rows(invalid, "invalidated", F.col("file"))).unionByName(rows(created, "created", F.lit("")))
 
 
 def _item_issues(spark, d):
-    items = segments(spark, d).select("segment_id", "source_text", F.when(F.col("pos") % 11 == 0, F.lit(" ")).when(F.col("pos") % 13 == 0, F.regexp_replace("source_text", T.PLACEHOLDER, "")).when(F.col("pos") % 17 == 0, F.col("source_text")).otherwise(F.concat(F.lit("neu "), "source_text")).alias("target_text"))
-    return verify.item_issues(items, "source_text", "target_text").drop("source_text", "target_text")
+    items = bundles(spark, d)["every"].select("segment_id", "text", "translated_text")
+    return verify.item_issues(items, "text", "translated_text").drop("text", "translated_text")
+
+
+def _errors(spark, d) -> tuple[dict[str, DataFrame], DataFrame]:
+    b = bundles(spark, d)
+    return b, verify.errors(b["items"], b["mapping"], b["results"], b["answers"], b["segments"], GLOSSARY)
+
+
+def _verify_issues(spark, d):
+    return _errors(spark, d)[1].select("task_id", "code", "json_path")
+
+
+def _verify_report(spark, d):
+    b, errors = _errors(spark, d)
+    return verify.report(b["results"], errors, verify.warnings(b["items"], b["answers"])).select("task_id", "ok", "error_count", "warning_count", F.coalesce(F.size("sample"), F.lit(0)).alias("sample_lines"))
+
+
+def _apply_bundle(spark, d):
+    b, errors = _errors(spark, d)
+    rows = apply.updates(b["mapping"], b["results"], b["answers"], errors, b["segments"], "xx")
+    return apply.apply_results(translations(spark, d), rows).select("segment_id", "translated_text", "status", "source_hash", "updated_at", "provider")
+
+
+def _apply_outcome(spark, d):
+    b, errors = _errors(spark, d)
+    return apply.outcome(b["results"], errors, apply.updates(b["mapping"], b["results"], b["answers"], errors, b["segments"], "xx"))
+
+
+def _inline_match(spark, d):
+    b = bundles(spark, d)
+    plans = apply.inline_plans(b["mapping"], b["answers"])
+    return plans.select("task_id", "pos", F.array_join(F.transform("plan.parts", lambda p: F.concat(p["kind"], F.lit(":"), p["text"])), "|").alias("parts"), F.array_join("texts", "|").alias("texts"))
+
+
+def _placeholders(spark, d):
+    given = bundles(spark, d)["every"]
+    return given.select("segment_id", F.array_join(T.placeholders(F.col("translated_text")), "|").alias("found"), T.without_placeholders(F.col("text"), "_").alias("bare"))
+
+
+def _list_marker(spark, d):
+    marker = F.element_at(F.array(*map(F.lit, ("", "- ", "* [ ] ", "12. ", "1) ", "  + ", "-", "- [X]  ", "- [y] "))), (F.col("p") % 9 + 1).cast("int"))
+    return bundles(spark, d)["every"].select("segment_id", T.list_marker(F.concat(marker, "norm")).alias("marker"))
+
+
+def _identical(spark, d):
+    every = bundles(spark, d)["every"]
+    return every.select("segment_id", T.comparable(F.col("text")).alias("source"), T.comparable(F.col("translated_text")).alias("target"))
 
 
 def _ordered_ids(spark, d):
@@ -109,14 +288,50 @@ def _ordered_ids(spark, d):
     return verify.ordered_ids(found, turns, "conv_id")
 
 
+def _entries(spark, d) -> DataFrame:
+    """Stand-in task files: open orders lie pending, filled ones are applied, the rest are both."""
+    c, k = F.col, F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").withColumns({"task_id": F.concat(F.lit("task_"), k.cast("string")), "page_url": F.concat(F.lit(SITE), (k % 1000).cast("string")), "title": F.when(k % 2 == 0, F.lit("T")), "content_count": (k % 9).cast("int")})
+    base = ["task_id", "page_url", "title", "content_count"]
+    pending = o.where("o_orderstatus <> 'F'").select(*base, (k % 31 != 0).alias("readable"))
+    applied = o.where("o_orderstatus <> 'O'").select(*base, (k % 37 != 0).alias("readable"), F.when(k % 5 != 0, k % 7 != 0).alias("result_readable"))
+    done = o.where("o_orderstatus <> 'F' AND o_orderkey % 3 < 2").select("task_id", (k % 3 == 0).alias("readable"), F.lit(NOW).alias("completed_at"), F.lit("openai").alias("provider"), F.lit("m").alias("model"))
+    checked = o.where("o_orderkey % 4 = 0").select("task_id", F.lit(NOW).alias("checked_at"), (k % 8 == 0).alias("ok"), F.when(k % 8 == 0, 0).otherwise((k % 5).cast("int")).alias("error_count"))
+    failed = o.where("o_orderkey % 10 = 1").select("task_id", F.lit(NOW).alias("failed_at"), F.lit("no answer").alias("message"))
+    gone = o.where("o_orderkey % 50 = 0").select(F.concat("task_id", F.when(k % 100 == 0, F.lit("x")).otherwise(F.lit(""))).alias("task_id"))
+    return tasks.manifest(pending, done, applied, checked, failed, gone).select("*", c("status").alias("state"))
+
+
+def _task_manifest(spark, d):
+    return _entries(spark, d).select("task_id", "page_url", "content_count", "status", "completed_at", "last_verify_status", "last_verify_error_count", "last_run_status")
+
+
+def _manifest_order(spark, d):
+    first = tasks.in_order(_entries(spark, d)).limit(50)
+    return first.select("task_id", "status", "page_url")
+
+
+def _manifest_board(spark, d):
+    return tasks.board(_entries(spark, d)).select("line")
+
+
 def _manifest_summary(spark, d):
-    s = F.col("o_orderstatus")
-    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "P").alias("pending"), F.count_if(s == "O").alias("done"), F.count_if(s == "F").alias("applied"), F.count_if(s.isNull() | ~s.isin("P", "O", "F")).alias("invalid"))
+    return tasks.summary(_entries(spark, d))
+
+
+def _runtime(spark, d) -> tuple[DataFrame, DataFrame]:
+    seg = segments(spark, d).withColumns({"kind": F.when(F.col("pos") % 3 == 0, "attr").otherwise("text"), "attribute_name": F.when(F.col("pos") % 6 == 0, "Title").when(F.col("pos") % 6 == 3, "data-x"), "tag_name": F.when(F.col("pos") % 10 == 9, "CODE").otherwise("p")})
+    told = F.when(F.col("segment_id") < "8", F.concat(F.lit("t:"), F.lower("norm"))).otherwise(F.concat(F.lit("u:"), F.lower("norm")))
+    tr = segments(spark, d).select("segment_id", "source_hash", F.when(F.col("pos") % 5 == 4, F.col("source_text")).otherwise(told).alias("translated_text"), F.when(F.col("pos") % 7 == 6, "stale").otherwise("accepted").alias("status"))
+    return state.runtime_manifest(seg.withColumn("source_text", F.lower(F.regexp_extract("source_text", r"^(\S+)", 1))), tr)
 
 
 def _runtime_manifest(spark, d):
-    seg = segments(spark, d).select("page_url", F.lower(F.regexp_extract("norm", r"^(\S+)", 1)).alias("src"), F.regexp_extract("norm", r"(\S+)$", 1).alias("dst"))
-    return state.conflict_free(seg, ["page_url", "src"], "dst")
+    return _runtime(spark, d)[0]
+
+
+def _runtime_conflicts(spark, d):
+    return _runtime(spark, d)[1]
 
 
 def _apply_upsert(spark, d):
@@ -125,6 +340,24 @@ def _apply_upsert(spark, d):
     return state.upsert(base, updates, "segment_id", "updated_at")
 
 
+def _run_events(spark, d) -> DataFrame:
+    """Stand-in events of runs: users are runs, kinds of events are kinds of progress."""
+    c = F.col
+    kind = F.create_map(*[F.lit(x) for x in ("signup", "started", "click", "attempt", "view", "attemptCompleted", "purchase", "completed", "error", "failed")])[c("event_type")]
+    kind = F.when(c("event_id") % 97 == 0, "queued").otherwise(kind)
+    task = F.concat(F.lit("t"), (c("event_id") % 3).cast("string"))
+    return table(spark, d, "events").select(c("user_id").cast("string").alias("run_id"), c("event_id").alias("seq"), kind.alias("type"), F.unix_millis(c("ts").cast("timestamp")).alias("at"), task.alias("task_id"), F.when(c("event_id") % 2 == 0, F.concat(task, F.lit("a"))).alias("activity_id"), (c("event_id") % 50 + 10).cast("int").alias("total"), (c("event_id") % 10).cast("int").alias("completed"), (c("event_id") % 7).cast("int").alias("success_count"), (c("event_id") % 4).cast("int").alias("failure_count"))
+
+
+def _run_state(spark, d):
+    return progress.run_state(_run_events(spark, d))
+
+
+def _run_summary(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("task_id"), (F.col("event_id") % 4).cast("int").alias("chunk"), (F.col("event_id") % 3 + 1).cast("int").alias("attempt"), (F.col("event_type") != "error").alias("ok"))
+    return tasks.run_summary(e)
+
+
 def _progress_metrics(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("ts").alias("last_at"))
@@ -135,9 +368,16 @@ def _issue_topk(spark, d):
     return e.orderBy(F.col("value").desc_nulls_last(), "event_id").limit(5)
 
 
+def _issue_sample(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'")
+    lines = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("event_id"))).alias("ids"))
+    return lines.select("user_id", F.array_join(verify.sampled(F.transform("ids", lambda i: i.cast("string"))), ",").alias("sample"))
+
+
 def _asset_paths(spark, d):
-    url = F.col("url")
-    return table(spark, d, "pages").select("page_id", U.asset_path(url).alias("asset_path"), U.cache_name(url, ".bin").alias("cache_name"), U.same_origin(url, F.concat(U.origin(url), F.lit("/x"))).alias("same"))
+    url, k = F.col("url"), F.col("page_id") % 4
+    other = F.when(k == 0, F.concat(U.origin(url), F.lit(":443/x"))).when(k == 1, F.concat(U.origin(url), F.lit(":80/x"))).when(k == 2, F.concat(F.upper(U.origin(url)), F.lit("/x"))).otherwise(F.concat(U.origin(url), F.lit(".org/x")))
+    return table(spark, d, "pages").select("page_id", U.asset_path(url).alias("asset_path"), U.cache_name(url, ".bin").alias("cache_name"), U.same_origin(url, F.regexp_replace(other, "^HTTP", "http")).alias("same"))
 
 
 def _link_rewrite(spark, d):
@@ -147,51 +387,75 @@ def _link_rewrite(spark, d):
     return crawl.rewritten(links, "link", crawl.page_manifest(pages), "/mirror").select("page_id", "link", "rewritten")
 
 
+def _varied(options: tuple[str, ...], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, options)), (k % len(options) + 1).cast("int"))
+
+
+SRCSETS = ("/a/# 1x,, /b.png  2x ", "/#.png", " , ", "/a.png 100w,/#.png 200w", "data:image/png;base64,AA# 2x")
+STYLES = ("background: url('/i/#.png'), url( \"/j.png\" ), url(var(--x)), url(/k.png)", "color: red", "src: url(/#.woff) format('woff')", "x: url('a b#.png')", "x: url(/a b#.png)")
+SPANS = ("Use `#` with ``a`b`` now", "`#``b`", "none #", "open `# here", "````#```` end", "a ``#`` b `c` ``d")
+MARKUPS = ("**#** and [a](u) ![i](v) ~~x~~ __#__", "** #** __ #__", "`**#**` [](u) [a]()", "**#\nb** ~~\nx~~", "[a](u)[b](v)![c](w)", "open `**#**")
+ANSWERS = ("<think>plan {</think>\n```json\n#\n```", "Here: # done", "#", "```\n#", "{broken #", "no json", "<think a='1'>x</think>#", "[1, 2]")
+
+
+def _filled(options: tuple[str, ...], k: Column, value: Column) -> Column:
+    return F.replace(_varied(options, k), F.lit("#"), value)
+
+
 def _srcset(spark, d):
-    given = F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit(".png 1x,, /b.png  2x "))
+    given = _filled(SRCSETS, F.col("p_partkey"), F.col("p_partkey").cast("string"))
     return table(spark, d, "part").select("p_partkey", M.rewrite_srcset(given, lambda u: F.concat(F.lit("/mirror"), u)).alias("srcset"))
 
 
 def _css_urls(spark, d):
-    style = F.concat(F.lit("background: url('/i/"), F.col("p_partkey").cast("string"), F.lit(".png'), url( \"/j.png\" ), url(var(--x)), url(/k.png)"))
+    style = _filled(STYLES, F.col("p_partkey"), F.col("p_partkey").cast("string"))
     return table(spark, d, "part").select("p_partkey", F.array_join(M.css_urls(style), "|").alias("urls"))
 
 
 def _code_spans(spark, d):
-    given = F.concat(F.lit("Use `"), F.col("p_brand"), F.lit("` with ``a`b`` now"))
-    found = table(spark, d, "part").select("p_partkey", M.code_spans(given).alias("c"))
-    return found.select("p_partkey", F.array_join("c.spans", "|").alias("spans"), F.array_join("c.texts", "|").alias("texts"), M.fence(F.col("c.spans")[1]).alias("fenced"))
+    given = _filled(SPANS, F.col("p_partkey"), F.col("p_brand"))
+    found = table(spark, d, "part").select("p_partkey", T.code_spans(given).alias("c"), M.fence(given).alias("fenced"))
+    return found.select("p_partkey", F.array_join("c.spans", "|").alias("spans"), F.array_join("c.texts", "|").alias("texts"), "fenced")
 
 
 def _markup(spark, d):
-    given = F.concat(F.lit("**"), F.col("p_brand"), F.lit("** and [a](u) ![i](v) ~~x~~ __"), F.col("p_name"), F.lit("__"))
+    given = _filled(MARKUPS, F.col("p_partkey"), F.col("p_name"))
     told = F.when(F.col("p_size") % 2 == 0, given).otherwise(F.replace(given, F.lit("~~"), F.lit("")))
-    return table(spark, d, "part").select("p_partkey", M.signature(given)["links"].alias("links"), M.signature(given)["images"].alias("images"), M.markup_mismatch(given, told).alias("mismatch"))
+    sign = M.signature(given)
+    return table(spark, d, "part").select("p_partkey", *[sign[c].alias(c) for c in M.MARKUP], M.markup_mismatch(given, told).alias("mismatch"))
 
 
 def _json_repair(spark, d):
-    raw = F.concat(F.lit("<think>plan {</think>\n```json\n"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("Here: "), "props")), F.lit("\n```"))
+    raw = _filled(ANSWERS, F.col("event_id"), F.col("props"))
     return table(spark, d, "events").select("event_id", M.json_object(raw).alias("repaired"))
 
 
-GLOSSARY = (("and", "und"), ("the", "das"), ("a", "ein"))
-
-
 def _glossary(spark, d):
+    terms = (("and", "und"), ("the", "das"), ("a", "ein"), ("DE LA", "neu"), ("Übung", "x"), (" ", "x"))
     seg = segments(spark, d).select("segment_id", "source_text", F.concat(F.lit("neu "), "source_text").alias("target_text"))
-    return verify.glossary_issues(seg, "segment_id", "source_text", "target_text", GLOSSARY)
+    return verify.glossary_issues(seg, "segment_id", "source_text", "target_text", terms)
 
 
 def _status(spark, d):
     counts = translations(spark, d).agg(F.count(F.lit(1)).alias("translations"), *[F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "stale", "draft")])
     seg = segments(spark, d).agg(F.count(F.lit(1)).alias("segments"), F.count_distinct("page_url").alias("pages"))
-    return seg.crossJoin(counts)
+    assets = site.resources(table(spark, d, "pages")).where("kind = 'asset'").agg(F.count_distinct("target").alias("assets"))
+    t = _manifest_summary(spark, d)
+    return seg.crossJoin(assets).crossJoin(counts).crossJoin(t.select(F.col("pending").alias("pending_tasks"), F.col("done").alias("done_tasks"), F.col("applied").alias("applied_tasks"), F.col("invalid").alias("invalid_tasks")))
 
 
 def _retries(spark, d):
     status = F.element_at(F.array(*[F.lit(s) for s in (200, 404, 408, 429, 500, 501, 503, 504)]), (F.col("event_id") % 8 + 1).cast("int"))
-    tries = table(spark, d, "events").select("event_id", status.alias("status")).where(crawl.retryable(F.col("status")))
-    return tries.select("event_id", "status", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("attempt")).withColumn("delay_ms", crawl.backoff_ms(F.col("attempt")))
+    header = _varied(("", "3", "2.5", "soon", "Mon, 01 Jan 2024 00:00:30 GMT", "Sun, 31 Dec 2023 00:00:00 GMT"), F.col("event_id"))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    tries = table(spark, d, "events").select("event_id", status.alias("status"), header.alias("header")).where(crawl.retryable(F.col("status")))
+    return tries.select("event_id", "status", "header", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("attempt")).withColumn("wait_ms", crawl.wait_ms(F.col("attempt"), F.col("header"), now)).drop("header")
+
+
+def _request_errors(spark, d):
+    code = F.nullif(_varied(("", "ECONNRESET", "ETIMEDOUT", "ENOTFOUND"), F.col("event_id")), F.lit(""))
+    said = _varied(("socket hang up", "Timeout of x", "  ", "getaddrinfo", "refused"), F.col("event_id"))
+    return table(spark, d, "events").select("event_id", crawl.error_text(code, said, 15000).alias("message"), crawl.timed_out(code, said).alias("timed_out"))
 
 
 def _chunk_plan(spark, d):
@@ -199,10 +463,36 @@ def _chunk_plan(spark, d):
     return chunks.chunk_plan(seg, "page_url", "pos", "chars", "heading", chunks.Limits(10, 600, 900))
 
 
+def _chunk_drafts(spark, d):
+    """Faults of chunk drafts made of the tasks' answers, each fourth chunk lost and each fifth with a wrong id."""
+    every = bundles(spark, d)["every"]
+    items = every.select("task_id", F.col("p").alias("pos"), "id", "translated_text")
+    ends = every.groupBy("task_id").agg((F.max("p") + 1).alias("n"))
+    plans = ends.select("task_id", F.posexplode(F.sequence(F.lit(1), F.col("n"), F.lit(4))).alias("k", "item_start"), "n").select("task_id", (F.col("k") + 1).alias("chunk_index"), "item_start", F.least(F.col("item_start") + 3, "n").alias("item_end"))
+    view = chunks.views(plans, items)
+    drafts = view.where("(chunk_index + length(translated_text)) % 4 > 0 OR k > 0").withColumn("id", F.when((F.col("chunk_index") % 5 == 0) & (F.col("k") == 1), F.lit("x")).otherwise(F.col("id")))
+    return chunks.merge_drafts(drafts, view)[1]
+
+
 def _html_segments(spark, d):
     return site.segments(table(spark, d, "pages")).select("page_url", "ord", "segment_id", "reuse_key", "dom_path", "kind", "attribute_name", "normalized_text", "source_hash", "tag_name", "title")
 
 
+def _segments_h1(spark, d):
+    rules = site.Extraction(include=("article > h1",))
+    return site.segments(table(spark, d, "pages"), rules).select("page_url", "dom_path", "segment_id", "normalized_text", "source_hash")
+
+
+def _segments_nav(spark, d):
+    rules = site.Extraction(include=("nav li:not(:first-child) a, footer",))
+    return site.segments(table(spark, d, "pages"), rules).select("page_url", "dom_path", "normalized_text", "tag_name")
+
+
+def _html_links(spark, d):
+    found = site.resources(table(spark, d, "pages").select("page_id", F.concat(U.origin(F.col("url")), F.lit("/x/y")).alias("url"), "html"))
+    return found.where("kind = 'link'").groupBy("page_url").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("target").alias("targets"))
+
+
 def _html_resources(spark, d):
     return site.resources(table(spark, d, "pages"))
 
@@ -212,10 +502,22 @@ def _html_units(spark, d):
 
 
 def _site_build(spark, d):
+    """Every page built: translations, links between pages and to what stands for assets, and the data that its scripts replay."""
     pages = table(spark, d, "pages").dropDuplicates(["url"])
-    told = F.when(F.col("ord") % 5 > 0, F.concat(F.lit("t:"), "normalized_text"))
-    built = site.build(pages, site.segments(pages).withColumn("translated_text", told), "xx")
-    return built.select("page_url", F.sha2("html", 256).alias("html_sha256"), "applied", "missing")
+    seg = site.segments(pages)
+    tr = seg.select("segment_id", "source_hash", F.concat(F.lit("t:"), "normalized_text").alias("translated_text"), F.when(F.col("ord") % 5 > 0, "accepted").otherwise("draft").alias("status"))
+    own = pages.select("url", U.origin(F.col("url")).alias("o"), F.explode(F.array(F.lit("/de"), F.lit("/the"), F.lit("/in"))).alias("h")).select(F.concat("o", "h").alias("url")).distinct()
+    known = own.select("url", U.output_path(F.col("url")).alias("output_path"))
+    built = site.build(pages, site.bindings(seg, tr), "xx", links=site.rewrites(pages, known, base="/mirror"), runtime=state.runtime_manifest(seg, tr)[0], base="/mirror")
+    return built.select("page_url", F.sha2("html", 256).alias("html_sha256"), "applied", "missing", "rewritten", "replayed")
+
+
+def _build_links(spark, d):
+    """How many references of each page the build rewrites."""
+    pages = table(spark, d, "pages").dropDuplicates(["url"])
+    own = pages.select(U.origin(F.col("url")).alias("o"), F.explode(F.array(F.lit("/de"), F.lit("/the"), F.lit("/in"))).alias("h")).select(F.concat("o", "h").alias("url")).distinct()
+    links = site.rewrites(pages, own.select("url", U.output_path(F.col("url")).alias("output_path")), base="/mirror")
+    return links.select("page_url", "raw", "rewritten")
 
 
 def _run_progress(spark, d):
@@ -225,77 +527,13 @@ def _run_progress(spark, d):
 def queries() -> dict:
     return {
         "page_manifest": _page_manifest, "url_filter": _url_filter, "link_anchors": _anchors, "dangling_links": _dangling, "public_paths": _public_paths, "reachability": _reachability,
-        "mark_stale": _mark_stale, "carry_forward": _carry_forward, "pending": _pending, "doctor": _doctor, "task_items": _task_items, "apply_upsert": _apply_upsert,
-        "item_issues": _item_issues, "ordered_ids": _ordered_ids, "manifest_summary": _manifest_summary, "runtime_manifest": _runtime_manifest, "progress_metrics": _progress_metrics, "issue_topk": _issue_topk,
+        "mark_stale": _mark_stale, "carry_forward": _carry_forward, "pending": _pending, "doctor": _doctor, "task_items": _task_items, "task_plan": _task_plan, "task_reconcile": _reconcile, "apply_upsert": _apply_upsert,
+        "item_issues": _item_issues, "verify_issues": _verify_issues, "verify_report": _verify_report, "apply_bundle": _apply_bundle, "apply_outcome": _apply_outcome, "inline_match": _inline_match,
+        "placeholders": _placeholders, "list_marker": _list_marker, "identical": _identical, "ordered_ids": _ordered_ids,
+        "task_manifest": _task_manifest, "manifest_order": _manifest_order, "manifest_board": _manifest_board, "manifest_summary": _manifest_summary, "runtime_manifest": _runtime_manifest, "runtime_conflicts": _runtime_conflicts,
+        "run_state": _run_state, "run_summary": _run_summary, "progress_metrics": _progress_metrics, "run_progress": _run_progress, "issue_topk": _issue_topk, "issue_sample": _issue_sample,
         "asset_paths": _asset_paths, "link_rewrite": _link_rewrite, "srcset": _srcset, "css_urls": _css_urls, "code_spans": _code_spans, "markup": _markup, "json_repair": _json_repair,
-        "glossary": _glossary, "status": _status, "retries": _retries, "chunk_plan": _chunk_plan,
-        "html_segments": _html_segments, "html_resources": _html_resources, "html_units": _html_units, "site_build": _site_build, "run_progress": _run_progress,
+        "glossary": _glossary, "status": _status, "retries": _retries, "request_errors": _request_errors, "robots": _robots, "mime": _mime,
+        "crawl_pages": _crawl_pages, "crawl_assets": _crawl_assets, "crawl_issues": _crawl_issues, "crawl_stats": _crawl_stats, "chunk_plan": _chunk_plan, "chunk_drafts": _chunk_drafts,
+        "html_segments": _html_segments, "segments_h1": _segments_h1, "segments_nav": _segments_nav, "html_links": _html_links, "html_resources": _html_resources, "html_units": _html_units, "site_build": _site_build, "build_links": _build_links,
     }
-
-
-_SEG = rf"""
-l AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(0, len(t))) AS pos FROM l),
-n AS (SELECT doc_id, pos, '{_SITE}' || doc_id AS page_url, 'root[0]/p[' || pos || ']/#text[0]' AS dom_path, t[pos + 1] AS source_text,
-  regexp_replace(regexp_replace(t[pos + 1], '{T.WHITE}+', ' ', 'g'), '^ | $', '', 'g') AS norm FROM p),
-seg AS (SELECT *, sha256(page_url || '::' || dom_path || '::text::') AS segment_id, sha256(page_url || '::text::::p::::' || norm) AS reuse_key, sha256(norm) AS source_hash FROM n WHERE norm <> ''),
-lab AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id),
-tr0 AS (SELECT seg.*, CASE WHEN toxic = 1 THEN 'stale' WHEN quality = 1 THEN 'accepted' ELSE 'draft' END AS status FROM seg JOIN lab USING (doc_id)),
-tr AS (SELECT segment_id, reuse_key, 't:' || norm AS translated_text, CASE WHEN pos % 5 = 0 THEN 'x' || source_hash ELSE source_hash END AS source_hash, status, '2025-01-01T00:00:00.000Z' AS updated_at FROM tr0),
-trm AS (SELECT CASE WHEN pos % 7 = 0 THEN sha256('moved' || segment_id) ELSE segment_id END AS segment_id, reuse_key, 't:' || norm AS translated_text, source_hash, status, '2025-01-01T00:00:00.000Z' AS updated_at FROM tr0)
-"""
-_URL = r"""
-u AS (SELECT page_id, html, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS o, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS p, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM pages),
-c AS (SELECT page_id, html, o, q, o || CASE WHEN p = '' THEN '/' ELSE p END || q AS url, regexp_replace(p, '^/+', '') AS s FROM u),
-m AS (SELECT url, min(page_id) AS page_id, arg_min(sha256(html), page_id) AS page_hash, min(s) AS s, min(q) AS q FROM c GROUP BY url),
-w AS (SELECT *, CASE WHEN s = '' THEN 'index.html' WHEN contains(regexp_extract(s, '([^/]*)$', 1), '.') THEN s ELSE s || '/index.html' END AS plain FROM m),
-x AS (SELECT *, regexp_extract(plain, '[^/](\.[^./]*)$', 1) AS ext FROM w),
-man AS (SELECT url, page_id, page_hash, substr(plain, 1, length(plain) - length(ext)) || CASE WHEN q = '' THEN '' ELSE '__q_' || substr(sha256(q), 1, 12) END || ext AS output_path FROM x)
-"""
-_PENDING = "SELECT * FROM seg WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.segment_id = seg.segment_id AND tr.source_hash = seg.source_hash AND tr.status = 'accepted')"
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "page_manifest": f"WITH {_URL} SELECT * FROM man",
-        "public_paths": rf"WITH {_URL} SELECT url, '/mirror/' || regexp_replace(output_path, '(^|/)index\.html$', '\1') AS public_path FROM man",
-        "url_filter": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '/en/|/de/') AND NOT regexp_matches(url, 'utm_source|#top$')",
-        "link_anchors": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages), b AS (SELECT page_id, h, unnest(range(0, len(h))) AS ord FROM a) SELECT page_id, ord::INT AS ord, h[ord + 1] AS href FROM b""",
-        "dangling_links": f"""WITH {_URL}, a AS (SELECT page_id, o, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS h FROM c), b AS (SELECT page_id, o, h, unnest(range(0, len(h))) AS ord FROM a)
-            SELECT page_id, ord::INT AS ord, o || h[ord + 1] AS target FROM b WHERE o || h[ord + 1] NOT IN (SELECT url FROM c)""",
-        "reachability": """WITH RECURSIVE k AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, unnest([(page_id * 7 + 3) % n, (page_id * 2 + 1) % n]) AS dst FROM pages, k),
-            r(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 30) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""",
-        "mark_stale": f"""WITH {_SEG}, j AS (SELECT tr.*, coalesce(s.source_hash = tr.source_hash, false) AS fresh, s.reuse_key AS now_key FROM tr LEFT JOIN seg s ON tr.segment_id = s.segment_id)
-            SELECT segment_id, CASE WHEN fresh THEN coalesce(now_key, reuse_key) ELSE reuse_key END AS reuse_key, translated_text, source_hash, CASE WHEN NOT fresh THEN 'stale' WHEN status = 'stale' THEN 'accepted' ELSE status END AS status,
-            CASE WHEN fresh AND status <> 'stale' THEN updated_at ELSE '{NOW}' END AS updated_at FROM j""",
-        "carry_forward": f"""WITH {_SEG}, a AS (SELECT reuse_key, source_hash, min(segment_id) AS segment_id FROM seg WHERE segment_id NOT IN (SELECT segment_id FROM trm) GROUP BY ALL HAVING count(*) = 1),
-            b AS (SELECT reuse_key, source_hash, min(translated_text) AS translated_text, min(updated_at) AS updated_at FROM trm WHERE status <> 'draft' GROUP BY reuse_key, source_hash HAVING count(*) = 1)
-            SELECT segment_id, reuse_key, translated_text, source_hash, 'accepted' AS status, updated_at FROM a JOIN b USING (reuse_key, source_hash)""",
-        "pending": f"WITH {_SEG} SELECT segment_id, page_url, dom_path, source_hash FROM ({_PENDING})",
-        "doctor": f"""WITH {_SEG}, j AS (SELECT tr.status, coalesce(s.source_hash = tr.source_hash, false) AS fresh FROM tr LEFT JOIN seg s ON tr.segment_id = s.segment_id)
-            SELECT count(*) FILTER (WHERE fresh AND status = 'accepted') AS translated, count(*) FILTER (WHERE NOT fresh OR status = 'stale') AS stale, (SELECT count(*) FROM ({_PENDING})) AS missing FROM j""",
-        "task_items": f"WITH {_SEG} SELECT 'task_' || substr(sha256(page_url), 1, 10) AS task_id, (row_number() OVER (PARTITION BY page_url ORDER BY pos))::VARCHAR AS id, source_text AS text FROM ({_PENDING})",
-        "apply_upsert": f"WITH {_SEG} SELECT segment_id, reuse_key, translated_text, source_hash, CASE WHEN status = 'draft' THEN 'accepted' ELSE status END AS status, CASE WHEN status = 'draft' THEN '{NOW}' ELSE updated_at END AS updated_at FROM tr",
-        "ordered_ids": """WITH t AS (SELECT conv_id, turn AS pos, turn::VARCHAR AS id FROM conversations), f AS (SELECT conv_id, pos, CASE WHEN conv_id % 3 = 0 THEN '0' WHEN conv_id % 3 = 1 THEN id || 'x' ELSE id END AS id FROM t),
-            k AS (SELECT conv_id, id, count(*) AS n FROM f GROUP BY ALL), w AS (SELECT DISTINCT conv_id, id FROM t)
-            SELECT conv_id, id, 'id_duplicate' AS code FROM k WHERE n > 1 UNION ALL SELECT conv_id, id, 'id_unknown' FROM k ANTI JOIN w USING (conv_id, id) UNION ALL SELECT conv_id, id, 'id_missing' FROM w ANTI JOIN k USING (conv_id, id)
-            UNION ALL SELECT f.conv_id, f.id, 'id_out_of_order' FROM f JOIN t ON f.conv_id = t.conv_id AND f.pos = t.pos WHERE f.id <> t.id""",
-        "manifest_summary": "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, count(*) FILTER (WHERE o_orderstatus = 'O') AS done, count(*) FILTER (WHERE o_orderstatus = 'F') AS applied, count(*) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('P', 'O', 'F')) AS invalid FROM orders",
-        "runtime_manifest": rf"WITH {_SEG}, v AS (SELECT page_url, lower(regexp_extract(norm, '^(\S+)', 1)) AS src, regexp_extract(norm, '(\S+)$', 1) AS dst FROM seg) SELECT page_url, src, min(dst) AS dst FROM v GROUP BY page_url, src HAVING min(dst) = max(dst)",
-        "progress_metrics": "SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS last_at FROM events GROUP BY user_id",
-        "run_progress": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS k FROM events) SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS last_at, min(event_type) FILTER (WHERE k = 1) AS last_kind FROM r GROUP BY user_id",
-        "issue_topk": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY value DESC NULLS LAST, event_id LIMIT 5",
-        "asset_paths": r"""WITH u AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/+', '') AS s, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM pages),
-            w AS (SELECT *, CASE WHEN s = '' THEN 'assets/index' ELSE s END AS plain FROM u), x AS (SELECT *, regexp_extract(plain, '[^/](\.[^./]*)$', 1) AS ext FROM w)
-            SELECT page_id, substr(plain, 1, length(plain) - length(ext)) || CASE WHEN q = '' THEN '' ELSE '__q_' || substr(sha256(q), 1, 12) END || ext AS asset_path, sha256(url) || '.bin' AS cache_name, true AS same FROM x""",
-        "link_rewrite": rf"""WITH {_URL}, a AS (SELECT page_id, o, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS h FROM c), k AS (SELECT DISTINCT page_id, o || h AS link FROM a UNION SELECT page_id, url FROM pages),
-            kc AS (SELECT page_id, link, lower(regexp_extract(link, '^(https?://[^/?#]+)', 1)) || CASE WHEN regexp_replace(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') END || regexp_extract(link, '^[^?#]*(\?[^#]*)', 1) AS target FROM k)
-            SELECT kc.page_id, link, CASE WHEN man.url IS NULL THEN link ELSE '/mirror/' || regexp_replace(output_path, '(^|/)index\.html$', '\1') || regexp_extract(link, '(#.*)$', 1) END AS rewritten FROM kc LEFT JOIN man ON man.url = target""",
-        "srcset": "SELECT p_partkey, '/mirror/a/' || p_partkey || '.png 1x, /mirror/b.png 2x' AS srcset FROM part",
-        "css_urls": "SELECT p_partkey, '/i/' || p_partkey || '.png|/j.png|/k.png' AS urls FROM part",
-        "code_spans": "SELECT p_partkey, p_brand || '|a`b' AS spans, 'Use | with | now' AS texts, '``a`b``' AS fenced FROM part",
-        "markup": "SELECT p_partkey, 1 AS links, 1 AS images, p_size % 2 <> 0 AS mismatch FROM part",
-        "json_repair": "SELECT event_id, props AS repaired FROM events",
-        "glossary": f"WITH {_SEG}, g(source, target) AS (VALUES ('and', 'und'), ('the', 'das'), ('a', 'ein')) SELECT segment_id, source AS term, target FROM seg, g WHERE regexp_matches(source_text, '(?i)(?:^|[^A-Za-z0-9_])' || source || '(?:$|[^A-Za-z0-9_])') AND NOT regexp_matches('neu ' || source_text, '(?i)(?:^|[^A-Za-z0-9_])' || target || '(?:$|[^A-Za-z0-9_])')",
-        "status": f"WITH {_SEG} SELECT (SELECT count(*) FROM seg) AS segments, (SELECT count(DISTINCT page_url) FROM seg) AS pages, count(*) AS translations, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'draft') AS draft FROM tr",
-        "retries": "SELECT event_id, s AS status, attempt::INT AS attempt, 500 * (1 << attempt::INT) AS delay_ms FROM (SELECT event_id, [200, 404, 408, 429, 500, 501, 503, 504][event_id % 8 + 1] AS s FROM events), range(2) r(attempt) WHERE s IN (408, 429, 500, 502, 503, 504)",
-    }
