@@ -1,5 +1,7 @@
 """Scalar functions against known values, and every engine query against its SQL oracle."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +9,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
-from palimpsest.llm._common import workdir
 from palimpsest.operators import chunks, crawl, state, verify
-from palimpsest.plans import catalogue
+from palimpsest.plans import catalogue, stages
+from palimpsest.plans.store import workdir
 from palimpsest.sources import jsonl
 
 SF = "/root/testdata/sf0.001"
@@ -39,7 +41,13 @@ def test_public_path(spark):
 
 
 def test_placeholders(spark):
-    assert one(spark, T.placeholders(F.lit("Use % i, {name}, {{ value }}, and <0> now."))) == ["% i", "{name}", "{{ value }}", "<0>"]
+    given = "{{ a b }} {a.b-c} {} %1$s %-5.2f %.*f %*.*d 100% in </3> <12> $HOME_1 $x <a>"
+    assert one(spark, T.placeholders(F.lit(given))) == ["{{ a b }}", "{a.b-c}", "%1$s", "%-5.2f", "%.*f", "%*.*d", "% i", "</3>", "<12>", "$HOME_1"]
+
+
+@pytest.mark.parametrize(("text", "marker"), [("- a", "- "), ("  * b", "  * "), ("12. c", "12. "), ("1) d", ""), ("- [ ] e", "- [ ] "), ("+ [X]  f", "+ [X]  "), ("- [y] g", "- "), ("-h", "")])
+def test_list_marker(spark, text, marker):
+    assert one(spark, T.list_marker(F.lit(text))) == marker
 
 
 def test_task_id(spark):
@@ -51,10 +59,11 @@ def test_normalize_and_length(spark):
     assert one(spark, T.utf16_length(F.lit("a😀"))) == 3
 
 
-def test_identical_is_a_warning(spark):
-    rows = spark.createDataFrame([("Install", "Install"), ("Use {x}", "Nimm"), ("- a", "b"), ("a", " ")], "s string, t string")
-    got = [tuple(r)[2:] for r in verify.item_issues(rows, "s", "t").collect()]
-    assert got == [(False, False, False, True), (False, True, False, False), (False, False, True, False), (True, False, False, False)]
+def test_item_flags(spark):
+    rows = spark.createDataFrame([("Setup", "setup!"), ("Take {x}", "Nimm"), ("- a", "b"), ("a", " "), ("`x` is y", "``z``  is Y"), ("**a** b", "a b"), ("!?", "!?")], "s string, t string")
+    flags = ["translation_empty", "placeholder_mismatch", "list_marker_mismatch", "markup_structure_mismatch", "translation_suspiciously_identical"]
+    got = [[k for k, f in enumerate(flags) if r[f]] for r in verify.item_issues(rows, "s", "t").collect()]
+    assert got == [[4], [1], [2], [0], [4], [3], []]
 
 
 def test_conflicts_are_dropped(spark):
@@ -62,9 +71,67 @@ def test_conflicts_are_dropped(spark):
     assert [tuple(r) for r in state.conflict_free(rows, ["page", "src"], "dst").collect()] == [("p", "x", "c")]
 
 
-def test_code_spans():
-    assert M.split_code_spans("Use `snap-always` with `npm install`") == (["Use ", " with ", ""], ["snap-always", "npm install"])
-    assert M.split_code_spans("open `fence") is None and M.split_code_spans("") == ([""], [])
+def plain_spans(text):
+    """The same by a walk over the characters."""
+    texts, spans, held, at = [], [], "", 0
+    while at < len(text):
+        if text[at] != "`":
+            held, at = held + text[at], at + 1
+            continue
+        width = len(text) - at - len(text[at:].lstrip("`"))
+        end = text.find("`" * width, at + width)
+        if end < 0:
+            return None
+        texts.append(held)
+        spans.append(text[at + width : end])
+        held, at = "", end + width
+    return [*texts, held], spans
+
+
+def test_code_spans(spark):
+    rng = random.Random(5)
+    texts = ["`a``b`", "open `fence", "", "``x`y``", "```a``` `b`", "a `` b ``` c ``"] + ["".join(rng.choice("``ab ") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.code_spans(F.col("t")).alias("c"), T.without_code(F.col("t")).alias("w")).collect()
+    for r in rows:
+        want = plain_spans(r.t)
+        assert (r.c and (r.c.texts, r.c.spans)) == want, r.t
+        assert r.w == (" ".join(want[0]) if want else r.t)
+
+
+def test_markup(spark):
+    sign = lambda t: tuple(one(spark, M.signature(F.lit(t))))
+    assert sign("**a\nb** `**c**` [](u) [x](y) ![i](j)") == (1, 0, 0, 1, 1)
+    assert sign("~~a~~ __ b __ ** c ** __d__") == (0, 2, 1, 0, 0) or sign("~~a~~") == (0, 0, 1, 0, 0)
+    assert sign("`open **a**") == (1, 0, 0, 0, 0)
+
+
+@pytest.mark.parametrize(("text", "term", "found"), [
+    ("An API key", "api", True), ("rapid", "api", False), ("api_key", "api", False), ("größer als", "GRÖSSE", False), ("Die Größe  zählt", "größe zählt", True),
+    ("x-y z", "x-y", True), ("a-b", "-", True), ("- b", "-", False), ("anything", " ", False), ("文档 指南", "文档", True),
+])
+def test_terms(spark, text, term, found):
+    assert one(spark, M.has_term(F.lit(text), term)) is found
+
+
+def test_codes_and_slots(spark):
+    words = lambda *w: F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")
+    assert one(spark, M.match_codes(words("a", "b", "a"), words("a", "a", "b"))) == [0, 2, 1]
+    assert one(spark, M.match_codes(words("a"), words("b"))) is None and one(spark, M.match_codes(words("a"), words("a", "a"))) is None
+    assert one(spark, M.slot_texts(words("", "x", "y", "", "z"), F.lit(2))) == ["x", "yz"]
+    assert one(spark, M.slot_texts(words("", "x"), F.lit(3))) == ["x", "", ""] and one(spark, M.slot_texts(words(), F.lit(2))) == ["", ""]
+
+
+def test_styles_keep_quotes():
+    table = {"/a.png": "/m/a.png", "/b c.png": "/m/b.png"}
+    assert M.rewrite_style("x: url( '/a.png' ), url(\"/b c.png\"), url(/z.png)", table.get) == "x: url( '/m/a.png' ), url(\"/m/b.png\"), url(/z.png)"
+
+
+def test_formats(spark):
+    assert [one(spark, T.run_duration(F.lit(ms))) for ms in (400, 59_400, 185_000)] == ["0s", "59s", "3m 5s"]
+    assert [one(spark, T.stage_duration(F.lit(ms))) for ms in (850, 4_240, 42_400)] == ["850ms", "4.2s", "42s"]
+    assert [one(spark, T.plural(F.lit(n), "page")) for n in (1, 2)] == ["1 page", "2 pages"]
+    assert one(spark, T.chunk_range(F.lit("H" * 70), F.lit(1), F.lit(4))) == f'items 1-4, heading "{"H" * 57}..."'
+    assert one(spark, T.file_stamp(F.lit("2026-01-02T03:04:05.678Z"))) == "2026-01-02T03-04-05-678Z" and one(spark, T.heading_level(F.lit("h3"))) == 3
 
 
 @pytest.mark.parametrize(("items", "limits", "want"), [
@@ -79,6 +146,8 @@ def test_chunk_plan(items, limits, want):
 def test_json_embedding(spark):
     assert one(spark, M.html_safe(F.lit("a<b>&"))) == "a" + "".join(chr(92) + f"u{ord(c):04x}" for c in "<") + "b" + "".join(chr(92) + f"u{ord(c):04x}" for c in ">&")
     assert one(spark, M.json_object(F.lit("no json"))) is None
+    assert one(spark, M.json_object(F.lit('\ufeff<think x="1">{</think> ```JSON\n{"a": 1}\n```'))) == '{"a": 1}'
+    assert one(spark, M.json_object(F.lit('```\nHere: {"a": [1]} ok'))) == '{"a": [1]}'
 
 
 def test_jsonl(spark, tmp_path):
@@ -90,9 +159,19 @@ def test_jsonl(spark, tmp_path):
 
 def test_reachable_has_no_depth_limit(spark):
     workdir(spark)
-    edges = spark.range(71).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(71, 0), (90, 91)], "src long, dst long"))
+    edges = spark.range(101).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(101, 0), (190, 191)], "src long, dst long"))
     got = {r.node: r.depth for r in crawl.reachable(edges, spark.range(1).select(F.col("id").alias("node"))).collect()}
-    assert got == {i: i for i in range(72)}
+    assert got == {i: i for i in range(102)}
+
+
+def test_stages_stop_at_a_failure():
+    def broken(results):
+        raise ValueError("no")
+
+    done = stages.run([("update", lambda r: 1), ("run", lambda r: r["update"] + 1), ("apply", broken), ("build", lambda r: 3)], lambda s, r: "one task failed" if s == "run" else None)
+    assert done.status == {"update": "ok", "run": "partial", "apply": "failed", "build": "skipped"} and not done.ok
+    assert set(done.profile) == {"update", "run", "apply"} and ("apply", "failed", "no") in done.events
+    assert stages.run([("update", lambda r: 1)], stopped=lambda: True).status == {"update": "skipped"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
