@@ -17,8 +17,8 @@ RADIUS = 10
 BLOCKS = 12
 #: Fingerprints of one key that one row holds; more are dealt to several rows.
 PIECE = 4096
-#: Slots of the filter of keys that are asked for (what is broadcast is at most that many numbers).
-SLOTS = 1 << 20
+#: Least and most bits of the filter of keys that are asked for, 64 of them in a row (what is broadcast is at most a million rows).
+FILTER_BITS = (1 << 20, 1 << 26)
 #: The query searches for the neighbours of documents whose id this divides, among all.
 SEARCHED = 100
 #: Votes of four bits share a long, so a partial sum may count at most 2^16 - 1 terms.
@@ -154,17 +154,24 @@ def near_fingerprints(fps: DataFrame, probes: DataFrame, radius: int = RADIUS, b
     The bits are cut into ``blocks`` blocks. Two fingerprints that differ in at most ``radius`` bits agree
     in at least blocks - radius blocks, so one of the tables that each permute such a choice of blocks to
     the front holds both under one key: nothing within the radius is lost. A pair is told by the first
-    table that holds it. Only keys that a probe has go on, by a filter of fixed size; a key's fingerprints
-    are rows of at most about PIECE, however many share it, and no pairs are emitted: a probe meets each
+    table that holds it. Only keys that a probe may have go on, by a filter of 16 bits a key up to a fixed
+    size, beyond which more go on and none is lost; a key's fingerprints are rows of at most about PIECE, however many share it, and no pairs are emitted: a probe meets each
     row once and keeps what is near.
     """
     whole = _tables(radius, blocks)
     key = lambda df, *columns: df.select(*columns, F.explode(whole).alias("__t")).select(*columns, "__t.k", "__t.chosen", "__t.upto")
     asked = key(probes.select("fp_hi", "fp_lo").distinct(), "fp_hi", "fp_lo")
-    slot = F.pmod(F.col("k"), F.lit(SLOTS)).cast("int").alias("__slot")
-    live = asked.select(slot).distinct()
+    asked = materialize(asked, "probes")
+    many, bits = asked.count(), FILTER_BITS[0]
+    while bits < FILTER_BITS[1] and bits < 16 * many:
+        bits *= 2
+    place = F.pmod(F.col("k"), F.lit(bits))
+    word, bit = F.floor(place / 64).cast("long"), F.pmod(place, F.lit(64)).cast("int")
+    live = asked.select(word.alias("__word"), F.expr("shiftleft(1L, CAST(pmod(k, 64) AS INT))").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     counted = fps.groupBy("fp_hi", "fp_lo").agg(F.count(F.lit(1)).alias("times"))
-    index = key(counted, "fp_hi", "fp_lo", "times").select("fp_hi", "fp_lo", "times", "k", slot).join(F.broadcast(live), "__slot", "left_semi").select("fp_hi", "fp_lo", "times", "k")
+    index = key(counted, "fp_hi", "fp_lo", "times").select("fp_hi", "fp_lo", "times", "k", word.alias("__at"), bit.alias("__nth"))
+    among = (F.col("__at") == F.col("__word")) & (F.expr("shiftrightunsigned(__bits, __nth) & 1") == 1)
+    index = index.join(F.broadcast(live), among, "left_semi").select("fp_hi", "fp_lo", "times", "k")
     index = materialize(index, "tables")
     large = index.groupBy("k").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PIECE).select("k", F.ceil(F.col("__n") / PIECE).cast("int").alias("__of"))
     dealt = skew_join(index, large, ["k"], F.col("fp_hi")).withColumn("__piece", F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.coalesce("__of", F.lit(1))))

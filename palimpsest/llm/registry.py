@@ -21,10 +21,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For the queries that SQL expresses; the others are tested against brute force."""
+    """For the queries that SQL expresses; ``tests/llm`` holds the others against plain versions in Python."""
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op2_warc_fixity": warc_fixity.ORACLE_SQL,
+        "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op6_jaccard_join": jaccard_join.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }

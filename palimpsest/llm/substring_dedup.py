@@ -269,3 +269,15 @@ def _results(own: _Texts, covered: np.ndarray) -> Iterator[pa.RecordBatch]:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS win FROM d WHERE len(w) > 12),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (win) WHERE first < doc_id),
+h AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM g z WHERE z.doc_id = g.doc_id AND z.p = g.p - 1)) AS n_repeats FROM g GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+s AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY t.p) AS kept FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_repeats, 0) AS n_repeats FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+"""

@@ -273,3 +273,147 @@ def test_pipeline_stages_keep_columns(spark, docs):
     assert corpus_pipeline.drop_boilerplate_lines(spark, plain, "").columns == plain.columns
     mixed = corpus_pipeline.mix_sources(spark, plain, "")
     assert mixed.columns == plain.columns and mixed.count() >= 1
+
+
+def test_license_scores_against_plain_cosine(spark):
+    """Lines of some files, by counts and logarithms in Python."""
+    import math
+    import re
+
+    templates = (("MIT", "Released under the MIT License"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("X", "Free licence of words alpha beta"))
+    texts = ["Released under the MIT license.\ncode", "licensed under Apache 2.0 license version", "x = 1\n# a licence of alpha beta words, free", "licence of nothing", None, "", "long " * 20_000 + "\nreleased under the MIT License", "Released under the MIT license."]
+    rows = spark.createDataFrame([(k, f"d{k}/f.x", t) for k, t in enumerate(texts)], "doc_id long, path string, text string").withColumns({c: F.lit("clash") for c in ("line", "unit", "best", "score", "dir", "own", "term", "license")})
+    got = {r.doc_id: (r.license, r.score) for r in license_scan.scan(rows, "doc_id", "path", "text", templates=templates, least=0.5).collect()}
+    terms = lambda t: Counter(re.findall(license_scan.TERM, t.lower()))
+    cue = re.compile(license_scan.CUE)
+    lines = [(k, line) for k, t in enumerate(texts) for line in (t or "").split("\n") if cue.search(line)]
+    blocks = (0, 6)  # texts of several lines that no comment parts; no other text has a block
+    assert len(lines) == 6
+    units = [line for _, line in lines] + [texts[k] for k in blocks]
+    df = Counter(t for u in units for t in terms(u))
+    idf = lambda t, known=frozenset(x for _, n in templates for x in terms(n)): math.log((len(units) + 1) / ((df[t] if t in known else 0) + 1)) + 1
+    norm = lambda c: math.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
+
+    def best(unit):
+        c = terms(unit)
+        found = [(-round(sum(n * idf(t) * terms(text)[t] * idf(t) for t, n in c.items()) / (norm(c) * norm(terms(text))), 6), name) for name, text in templates]
+        return min(((s, n) for s, n in found if -s >= 0.5), default=None)
+
+    for k, text in enumerate(texts):
+        of_block = best(text) if k in blocks else None
+        of_lines = min((b for j, line in lines if j == k and (b := best(line))), default=None)
+        want = of_block or of_lines
+        assert got[k] == ((want[1], -want[0]) if want else (None, None)), k
+
+
+def test_operators_on_long_texts_repeats_and_clashing_names(spark):
+    long_ = " ".join(f"w{i % 4099}" for i in range(120_000))
+    names = ["sig", "hub", "batch", "route", "part", "keys", "extra", "line", "unit", "file", "offset", "shelf", "wide", "near", "digest", "found", "times", "k", "level", "class", "rank", "bin", "__id", "__text", "__boiler", "__key", "__none", "__host", "__norm", "__len", "e", "t", "sha", "hi", "lo", "body", "label", "positive"]
+    rows = [(1, long_), (1, long_), (2, long_ + " end"), (3, "short text"), (3, None), (4, ""), (None, long_)]
+    plain = spark.createDataFrame([(i, t, "s", i) for i, t in rows], "doc_id long, text string, source string, page_id long")
+    clash = plain.select("*", *[F.lit("c").alias(n) for n in names if n not in plain.columns])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+
+    def pages(d):
+        return d.select("*", F.concat(F.lit("http://h/"), "doc_id").alias("url"), F.col("text").alias("html"))
+
+    def lines(d):
+        return line_dedup.line_dedup(d, F.col("source"), F.col("text"), F.col("doc_id"))
+
+    made = {
+        "op1": lambda d: lines(d).select("doc_id", "__lines", "__kept"),
+        "op2": lambda d: warc_fixity.lay_out(pages(d)).select("page_id", "file", "offset", "length", F.sha2("record", 256)),
+        "op3": lambda d: sentencepieces.encode(d, giant=5000, chunk=2000),
+        "op4": lambda d: substring_dedup.repeated_passages(d).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)),
+        "op5": fingerprints.edited_fingerprints,
+        "op6": lambda d: jaccard_join.JaccardJoin(d).run(count_links=True),
+        "op8": mixing.sample_mix,
+        "op9": lambda d: toxicity.score(d, toxicity.train(d, labels)),
+        "op10": lambda d: exact_dedup.exact_dedup(d, digest_all=True),
+    }
+    got = {}
+    for name, make in made.items():
+        a, b = (sorted(map(repr, make(d).collect())) for d in (plain, clash))
+        assert a == b and len(a) == len(rows), name
+        got[name] = make(plain).collect()
+    assert "op1" in got and lines(clash).columns == [*clash.columns, "__lines", "__kept"]
+    with pytest.raises(ValueError, match="__kept"):
+        lines(plain.withColumn("__kept", F.lit(1)))
+    model = sentencepieces.processors(sentencepieces.model_bytes())[0]
+    assert all(r.ids == model.encode(long_) for r in got["op3"] if r.doc_id == 1)
+    assert {r.n_removed for r in got["op4"] if r.doc_id == 1} == {0} and {r.n_removed for r in got["op4"] if r.doc_id == 2} == {120_000}
+    by = {r.doc_id: r for r in got["op6"]}
+    assert by[2].component_id == 1 and by[1].n_links == 3 and by[3].n_links == 0
+    assert len({r.fingerprint for r in got["op5"] if r.doc_id in (1, None)}) == 1
+    assert {r.group_size for r in got["op10"] if r.doc_id == 1} == {3}
+    with pytest.raises(TypeError, match="integer"):
+        substring_dedup.repeated_passages(plain.withColumn("doc_id", F.lit("a")))
+
+
+def test_crowded_ids_are_dealt_to_files(spark):
+    pages = spark.range(400).select(F.lit(7).cast("long").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("x").alias("html")).unionByName(spark.range(30).select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("y"), "id").alias("html")))
+    records = warc_fixity.lay_out(pages, per_file=20)
+    sizes = Counter(r.file for r in records.collect())
+    assert sum(sizes.values()) == 430 and max(sizes.values()) < 60 and all(f < 0 for f in sizes)
+    assert warc_fixity.audit(records, records.where("url IS NULL OR url <> 'http://h/17'")).count() == 1
+
+
+def test_marks_in_giant_texts(spark):
+    """Texts with literal space marks go through the same scan: ids are those of the parts between the marks."""
+    model = sentencepieces.model_bytes()
+    plain, _ = sentencepieces.processors(model)
+    rng = random.Random(4)
+    texts = ["▁" * 300, "▁" + "ab cd " * 100, "x y " * 80 + "▁" + "z" * 400 + "▁▁ q", " ▁ ".join(["some words here and there"] * 40)]
+    texts += ["".join(rng.choice(["▁", " ", "the", "ing", "日本", "q"]) for _ in range(300)) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.ids for r in sentencepieces.encode(rows).collect()}
+    for r in sentencepieces.encode(rows, giant=50, chunk=64).collect():
+        assert r.ids == whole[r.doc_id] == sentencepieces.encode_texts(model, [texts[r.doc_id]])[0], r.doc_id
+        assert plain.decode(r.ids) == texts[r.doc_id]
+
+
+def test_impossible_chunks_raise():
+    import numpy as np
+
+    with pytest.raises(ValueError, match="possible"):
+        sentencepieces.settle([np.full((1, 2), -np.inf), np.zeros((2, 1))])
+    assert sentencepieces.longest_piece(sentencepieces.model_bytes()) == 16
+
+
+def test_pu_risk_against_a_plain_one():
+    """The risk and its gradient, the latter against differences of the former."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    xp, xu, prior = rng.random((40, 6)), rng.random((90, 6)) - 0.8, 0.3
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def plain(w):
+        zp, zu = xp @ w, xu @ w
+        return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+    signs = set()
+    for _ in range(30):
+        w = rng.normal(0, 3, 6)
+        positive, negative, grad = toxicity.pu_risk(w, xp, xu, prior)
+        assert np.allclose((positive, negative), plain(w))
+        signs.add(negative >= 0)
+        aim = (lambda v: sum(plain(v))) if negative >= 0 else (lambda v: -plain(v)[1])
+        numeric = [(aim(w + d) - aim(w - d)) / 2e-6 for d in np.eye(6) * 1e-6]
+        assert np.allclose(grad, numeric, atol=1e-5)
+    assert signs == {True, False}
+
+
+def test_toxicity_on_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out")
+    hit, all_, wrong = scored.agg(F.sum((F.col("toxic") * F.col("predicted"))), F.sum("toxic"), F.sum((1 - F.col("toxic")) * F.col("predicted"))).first()
+    assert hit / all_ >= 0.85 and wrong / (hit + wrong) <= 0.15
+
+
+def test_line_ratio_counts_pages_once(spark):
+    rows = spark.createDataFrame([(i, "h", "menu\nmenu\n" + f"own {i}") for i in range(20)] + [(20 + i, "g", "tie") for i in range(2)], "id long, host string, text string")
+    out = {r.id: list(r["__kept"]) for r in line_dedup.line_dedup(rows, F.col("host"), F.col("text"), F.col("id"), 1.0, 2).collect()}
+    assert out[0] == ["menu", "menu", "own 0"]  # a share of one isn't above one
+    out = {r.id: list(r["__kept"]) for r in line_dedup.line_dedup(rows, F.col("host"), F.col("text"), F.col("id"), 0.5, 2).collect()}
+    assert out[0] == ["own 0"] and out[20] == []
