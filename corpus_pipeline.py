@@ -57,7 +57,7 @@ STAGES = [
     ("sentencepieces", encode_pieces),
 ]
 
-#: A learnt classifier and a tokenizer aren't SQL; tests hold each stage against a plain version.
+#: A learnt classifier and a tokenizer aren't SQL; ``tests/llm/test_pipeline.py`` holds the stages against plain versions.
 ORACLE_SQL = None
 
 
