@@ -38,8 +38,9 @@ COUNTERS, COUNTER_PIECES = 1 << 20, 64
 FILTER_BITS = (1 << 23, 1 << 28)
 _PIECE = 1 << 20
 _ROWS = 1 << 14
-#: Sets of one side when all pairs of a component are counted, and columns of a dense piece of them.
-SIDE, COLUMNS = 256, 4096
+#: Sets, and tokens in which they differ from their component's first set, of one side when all pairs of a
+#: component are counted; columns of a dense piece of them; tokens of the sets that are compared with the first at once.
+SIDE, SIDE_TOKENS, COLUMNS, FIRST_TOKENS = 1024, 1 << 20, 4096, 1 << 20
 
 
 def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -402,42 +403,84 @@ class JaccardJoin:
         return stream_groups(rows, ["sig", "i", "j"], "a long, b long", search).distinct()
 
     def members(self, profiles: DataFrame, comps: DataFrame) -> DataFrame:
-        """(node, comp, times, k): the nodes of links, their rows, and the nodes of their component."""
-        times = profiles.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
-        sized = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
-        return self._write(skew_join(comps.join(times, "node"), sized, ["comp"], F.col("node"), "inner", 4), "members")
+        """(node, comp, times, n, k, weight): the nodes of links, their rows and sizes, and the nodes and tokens of their component."""
+        times = profiles.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
+        both = comps.select("node", "comp").join(times, "node")
+        sized = both.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
+        return self._write(skew_join(both, sized, ["comp"], F.col("node"), "inner", 4), "members")
+
+    def differences(self, members: DataFrame) -> DataFrame:
+        """(comp, node, times, n, lost, base, other): each set of a component of three nodes or more by how it differs from the least node's.
+
+        ``other`` holds the tokens of exactly one of the two, ``lost`` counts those that the set lacks, ``base``
+        those of the first. Near copies differ in few, so what meets in pairs below is small. The first set
+        goes to every part that a large component is dealt to.
+        """
+        seen = self.held[0]
+        for tokens in self.held[1:]:
+            seen = seen.unionByName(tokens.join(seen.select("node"), "node", "left_anti"))
+        parts = F.ceil(F.col("weight") / FIRST_TOKENS).cast("int")
+        rows = members.where("k > 2").join(seen, "node").withColumn("parts", parts)
+        own = F.struct(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("at"), F.col("times").alias("times"))
+        first = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("at"), F.lit(0).cast("long").alias("times")))
+        rows = rows.withColumn("to", F.explode(F.when(F.col("node") == F.col("comp"), F.concat(first, F.array(own))).otherwise(F.array(own))))
+        both = rows.select("comp", "to.at", "node", "to.times", "n", "tokens")
+
+        def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            comp, at, node, times, n = (table.column(c).to_numpy() for c in ("comp", "at", "node", "times", "n"))
+            tokens = table.column("tokens").combine_chunks()
+            out: dict[str, list] = {"row": [], "lost": [], "base": [], "other": []}
+            begin = np.flatnonzero(np.concatenate(([True], (comp[1:] != comp[:-1]) | (at[1:] != at[:-1]))))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(node)], strict=True):
+                zero = lo + int(np.flatnonzero(times[lo:hi] == 0)[0])
+                base = np.frombuffer(tokens[zero].as_buffer(), np.uint64)
+                for r in range(lo, hi):
+                    if times[r]:
+                        own = np.frombuffer(tokens[r].as_buffer(), np.uint64)
+                        other = np.setxor1d(own, base, assume_unique=True)
+                        out["row"].append(r)
+                        out["lost"].append((len(other) + len(base) - len(own)) // 2)
+                        out["base"].append(len(base))
+                        out["other"].append(other.tobytes())
+            take = np.array(out["row"], np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "comp": pa.array(comp[take]), "node": pa.array(node[take]), "times": pa.array(times[take]), "n": pa.array(n[take]), "lost": pa.array(out["lost"], pa.int64()), "base": pa.array(out["base"], pa.int64()), "other": pa.array(out["other"], pa.binary()),
+            })
+
+        return self._write(stream_groups(both, ["comp", "at"], "comp long, node long, times long, n long, lost long, base long, other binary", compare), "differences")
 
     def within(self, members: DataFrame, pairs: bool) -> DataFrame:
         """Every link of components of three nodes or more: (a, b), or (node, near), the rows that link with a node's.
 
         All links lie within components. Each two tiles of a component meet in one task, which
-        counts the overlap of all their sets exactly; so each pair is looked at once.
+        counts the overlap of all their sets exactly; so each pair is looked at once. Of sets s and t the
+        overlap is base - lost(s) - lost(t) + |other(s) and other(t)|.
         """
         percent = self.percent
-        seen = self.held[0]
-        for tokens in self.held[1:]:
-            seen = seen.unionByName(tokens.join(seen.select("node"), "node", "left_anti"))
-        rows = members.where("k > 2").join(seen, "node").withColumn("tiles", F.ceil(F.col("k") / SIDE).cast("int"))
-        rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("comp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "times", "tokens")
+        rows = self.differences(members)
+        heavy = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum(F.octet_length("other")) / (8 * SIDE_TOKENS))).cast("int").alias("tiles"))
+        rows = skew_join(rows, heavy, ["comp"], F.col("node"), "inner", 4)
+        rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.select("comp", F.least("tile", "beside").alias("i"), F.greatest("tile", "beside").alias("j"), "tile", "node", "times", "n", "lost", "base", "other")
 
         def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            comp, i, j, tile, node, times = (table.column(c).to_numpy() for c in ("comp", "i", "j", "tile", "node", "times"))
+            comp, i, j, tile, node, times, n, lost, base = (table.column(c).to_numpy() for c in ("comp", "i", "j", "tile", "node", "times", "n", "lost", "base"))
             begin = np.flatnonzero(np.concatenate(([True], (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            tokens = table.column("tokens").combine_chunks()
+            tokens = table.column("other").combine_chunks()
             near = np.zeros(len(node), np.int64)
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(node)], strict=True):
-                sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens[lo:hi]]
-                left, right = np.flatnonzero(tile[lo:hi] == i[lo]), np.flatnonzero(tile[lo:hi] == j[lo])
-                first = [sets[x] for x in left]
-                link = linked(first, first if i[lo] == j[lo] else [sets[x] for x in right], percent)
+                left, right = (lo + np.flatnonzero(tile[lo:hi] == t[lo]) for t in (i, j))
+                first = [np.frombuffer(tokens[int(x)].as_buffer(), np.uint64) for x in left]
+                second = first if i[lo] == j[lo] else [np.frombuffer(tokens[int(x)].as_buffer(), np.uint64) for x in right]
+                both = base[lo] - lost[left][:, None] - lost[right][None] + overlaps(first, second)
+                link = 100 * both >= percent * (n[left][:, None] + n[right][None] - both)
                 if i[lo] == j[lo]:
-                    link &= node[lo:hi][left][:, None] < node[lo:hi][right][None]
+                    link &= node[left][:, None] < node[right][None]
                 x, y = np.nonzero(link)
                 if pairs:
-                    yield _pairs(node[lo:hi][left[x]], node[lo:hi][right[y]])
-                near[lo + left] += link @ times[lo:hi][right]
-                near[lo + right] += times[lo:hi][left] @ link
+                    yield _pairs(node[left[x]], node[right[y]])
+                near[left] += link @ times[right]
+                near[right] += times[left] @ link
             if not pairs:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "near": pa.array(near, pa.int64())})
 
@@ -527,8 +570,8 @@ def _leaf_pairs(begin: np.ndarray, end: np.ndarray, coarse: np.ndarray, parity:
                 yield u[fine], v[fine]
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """Whether each set on the left links with each on the right."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left shares with each other one on the right."""
     sides = left if right is left else [*left, *right]
     tokens, owner = np.concatenate(sides), np.repeat(np.arange(len(sides)), [len(s) for s in sides])
     _, column, often = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -540,11 +583,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
     both = np.zeros((len(left), len(right)), np.int64)
     for lo in range(0, int(shared.sum()), COLUMNS):
         part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
-        dense = np.zeros((len(sides), COLUMNS), np.float32)
+        dense = np.zeros((len(sides), min(COLUMNS, int(shared.sum()) - lo)), np.float32)
         dense[owner[part], column[part] - lo] = 1
         both += (dense[: len(left)] @ dense[len(sides) - len(right) :].T).astype(np.int64)
-    na, nb = (np.array([len(s) for s in side], np.int64) for side in (left, right))
-    return 100 * both >= percent * (na[:, None] + nb[None] - both)
+    return both
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._common import SPACE, materialize, skew_join
 
-#: A line is boilerplate of a host if more than this share of the host's pages hold it, and at least so many.
-RATIO = 0.1
+#: A line is boilerplate of a host if more than this share of the host's pages hold it, and at least so many: what
+#: two or three pages share may as well be copies of a page, whose lines would all go.
+RATIO = 0.05
 MIN_PAGES = 4
 _TRIM = rf"^{SPACE}+|{SPACE}+$"
 _BLOCKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|article|section|nav|footer|header|table|tr|td|title|body|html|head)\b[^>]*>"
@@ -86,7 +87,7 @@ t4 AS (SELECT page_id, host, string_split(regexp_replace(regexp_replace(t, '[\x2
 l AS (SELECT page_id, host, pos, lines[pos] AS line, regexp_replace(lines[pos], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM t4)),
 h AS (SELECT host, count(*) AS total FROM t4 GROUP BY host),
 c AS (SELECT host, key, count(DISTINCT page_id) AS n FROM l WHERE key <> '' GROUP BY host, key),
-b AS (SELECT c.host, c.key FROM c JOIN h USING (host) WHERE n >= 4 AND n > total * 0.1)
+b AS (SELECT c.host, c.key FROM c JOIN h USING (host) WHERE n >= 4 AND n > total * 0.05)
 SELECT page_id, l.host, count(*) AS n_lines, count(b.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.key IS NULL), '') AS kept_text
 FROM l LEFT JOIN b ON l.host = b.host AND l.key = b.key GROUP BY page_id, l.host
 """

@@ -79,7 +79,8 @@ def test_jaccard_join(docs, empty, size, percent):
 
 
 def test_jaccard_links_within_components(spark, empty, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SIDE", 4)  # of the driver; functions are sent with what they name
+    monkeypatch.setattr(jaccard_join, "SIDE", 4)  # of the driver, where the tiles are decided
+    monkeypatch.setattr(jaccard_join, "FIRST_TOKENS", 500)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(f"x{k}" if i in (9 * k, 9 * k + 60) and k else w for i, w in enumerate(base)) for k in range(12)]
     texts += [texts[3], " ".join(f"y{i}" for i in range(50)), " ".join(f"y{i}" for i in range(51)), "alone", None, ""]
