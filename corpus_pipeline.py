@@ -15,7 +15,7 @@ from palimpsest.llm._common import materialize
 #: Words of a shingle and least similarity, in percent, of near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Share of a source's documents above which a line is boilerplate, and the least number of documents.
-LINE_RATIO, LINE_DOCS = 0.1, 4
+LINE_RATIO, LINE_DOCS = 0.05, 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
