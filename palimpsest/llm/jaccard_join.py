@@ -88,6 +88,25 @@ def parity_of(points: np.ndarray) -> np.ndarray:
     return np.packbits((points & 1).astype(bool), axis=-1).view(np.int64)
 
 
+def odd_of(s: np.ndarray) -> bytes:
+    """Parities of as many groups as a set larger than a point's coordinates has tokens, or up to twice that; of smaller sets none."""
+    if len(s) <= DIMS:
+        return b""
+    groups = 1 << (len(s) - 1).bit_length()
+    counts = np.bincount(((s >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def apart(p: bytes, q: bytes) -> int:
+    """Groups whose parities differ, by the fewer groups of the two: each costs a token."""
+    a, b = sorted((np.frombuffer(x, np.uint8) for x in (p, q)), key=len)
+    if not len(a):
+        return 0
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def coarse_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COARSE)
 
@@ -207,7 +226,7 @@ class JaccardJoin:
         self._drop(*self.temporary)
 
     def profiles(self) -> tuple[DataFrame, np.ndarray]:
-        """(id, n, node, coarse, parity) of each row, and the level of each counter in the tokens' order.
+        """(id, n, node, coarse, parity, odd) of each row, and the level of each counter in the tokens' order.
 
         Levels are ranks of the number of documents that hold a token of the counter; a document
         that comes again in a task is counted once. Counts are summed piece by piece; 64 rows of
@@ -230,15 +249,15 @@ class JaccardJoin:
                         counts += np.bincount(counter_of(np.concatenate(fresh)), minlength=COUNTERS)
                     points = np.array([point_of(s) for s in sets]).reshape(-1, DIMS)
                     odd = parity_of(points)
-                    columns = {"id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "coarse": pa.array([c.tobytes() for c in coarse_of(points)], pa.binary())}
+                    columns = {"id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "coarse": pa.array([c.tobytes() for c in coarse_of(points)], pa.binary()), "odd": pa.array([odd_of(s) for s in sets], pa.binary())}
                     columns |= {p: pa.array(odd[:, k]) for k, p in enumerate(PARITY)}
                     yield pa.RecordBatch.from_pydict(columns | {"piece": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
             if seen:
                 for k in range(COUNTER_PIECES):
-                    none = {c: pa.nulls(1, pa.int64()) for c in ("id", "n", "node")} | {"coarse": pa.nulls(1, pa.binary())} | {p: pa.nulls(1, pa.int64()) for p in PARITY}
+                    none = {c: pa.nulls(1, pa.int64()) for c in ("id", "n", "node")} | {c: pa.nulls(1, pa.binary()) for c in ("coarse", "odd")} | {p: pa.nulls(1, pa.int64()) for p in PARITY}
                     yield pa.RecordBatch.from_pydict(none | {"piece": pa.array([k], pa.int32()), "counts": pa.array([pack_planes(counts[k * size : (k + 1) * size])], pa.binary())})
 
-        table = self._write(self.rows.mapInArrow(make, f"id long, n long, node long, coarse binary, {', '.join(f'{p} long' for p in PARITY)}, piece int, counts binary"), "profiles")
+        table = self._write(self.rows.mapInArrow(make, f"id long, n long, node long, coarse binary, odd binary, {', '.join(f'{p} long' for p in PARITY)}, piece int, counts binary"), "profiles")
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -349,6 +368,21 @@ class JaccardJoin:
         total = F.col("n_a") + F.col("n_b")
         return both.where(F.floor((total - apart) / 2) >= F.ceil(self.percent * total / (100 + self.percent))).select("a", "b")
 
+    def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs that the parities of large sets allow too: of those the fixed number of coordinates tells nothing."""
+        percent = self.percent
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("odd").alias(f"o_{s}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "o_a", "o_b")
+
+        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+                cost = np.array([apart(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+                keep = (na + nb - cost) // 2 >= _needed(na, nb, percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+        return self._write(both.mapInArrow(prune, "a long, b long"), "near")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the bound of their whole points and then by their sets."""
         percent = self.percent
@@ -381,7 +415,7 @@ class JaccardJoin:
         parted = skew_join(groups.select("sig", "node"), comps, ["node"], F.col("sig"), "left", 4).select("sig", "node", F.coalesce("comp", "node").alias("part"))
         parted = self.parted = self._write(parted, "parted")
         open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
-        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes, "node")
+        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes.drop("odd"), "node")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "coarse", *PARITY)
@@ -510,16 +544,16 @@ class JaccardJoin:
         groups = self.shared_groups(level)
         nodes = self._write(profiles.drop("id").where("n > 0").dropDuplicates(["node"]), "nodes")
         stars = self._write(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
-        links = self.verified(self._write(self.allowed(stars, nodes), "near"))
+        links = self.verified(self.near(self._write(self.allowed(stars, nodes), "allowed"), nodes))
         comps = components(links)
         more = self._write(self.residual(groups, comps, nodes).join(stars, ["a", "b"], "left_anti"), "residual")
-        self._drop(groups, stars, nodes, self.parted)
+        self._drop(groups, stars, self.parted)
         if not more.isEmpty():
-            further = self.verified(more)
+            further = self.verified(self.near(more, nodes))
             if not further.isEmpty():
                 release(comps)
                 comps = components(links.unionByName(further))
-        self._drop(more)
+        self._drop(more, nodes)
         self.temporary.append(comps)
         return profiles.select("id", "n", "node"), comps
 

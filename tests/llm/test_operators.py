@@ -117,6 +117,18 @@ def test_tree_bound_loses_nothing():
                 assert set(kept[i]) & set(kept[j])
 
 
+def test_parities_of_large_sets_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (200, 257, 500, 1025, 5000):
+        a = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
+        for change in (0, 3, n // 10, n):
+            b = np.unique(np.concatenate([a[change:], rng.integers(1, 1 << 62, int(change * 1.5), dtype=np.uint64)]))
+            told = jaccard_join.apart(jaccard_join.odd_of(a), jaccard_join.odd_of(b))
+            assert told <= len(np.setxor1d(a, b)) and (told > 0.2 * n or change < n or n <= jaccard_join.DIMS)
+
+
 def test_stream_groups_are_whole(spark):
     rows = spark.range(3000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 7 == 3, F.lit(0)).otherwise(F.col("id") % 3).cast("int").alias("j"), "id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
