@@ -32,6 +32,8 @@ PARITY = tuple(f"p{k}" for k in range(DIMS // 64))
 LEAF = 32
 #: Points of one tree; larger groups are dealt to pairs of tiles.
 TILE = 2000
+#: Hubs that a node is tried against before the trees: those it meets in most groups.
+HUBS = 3
 #: Counters of the tokens' order, in pieces that are summed apart. Tokens that share one are ordered by their hash.
 COUNTERS, COUNTER_PIECES = 1 << 20, 64
 #: Least and greatest number of bits of the filter of nodes whose sets are needed: 1 to 32 MB.
@@ -415,10 +417,10 @@ class JaccardJoin:
         parted = skew_join(groups.select("sig", "node"), comps, ["node"], F.col("sig"), "left", 4).select("sig", "node", F.coalesce("comp", "node").alias("part"))
         parted = self.parted = self._write(parted, "parted")
         open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
-        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes.drop("odd"), "node")
+        rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes, "node")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "coarse", *PARITY)
+        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "coarse", "odd", *PARITY)
 
         def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
             sig, i, j, at, node, part, n = (table.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "part", "n"))
@@ -427,12 +429,20 @@ class JaccardJoin:
             begin = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             end = np.append(begin[1:], len(sig))
             side = np.where(i == j, 2, at == j)
+            odd = table.column("odd").to_pylist()
+
+            def told(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+                cost = np.array([apart(odd[u], odd[v]) for u, v in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+                fine = (n[x] + n[y] - cost) // 2 >= _needed(n[x], n[y], percent)
+                if fine.any():
+                    yield _pairs(node[x[fine]], node[y[fine]])
+
             for x, y in _leaf_pairs(begin, end, coarse, parity, n, part, side, percent):
-                yield _pairs(node[x], node[y])
+                yield from told(x, y)
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 if hi - lo > LEAF:
                     for x, y in tree_pairs(coarse[lo:hi], parity[lo:hi], n[lo:hi], part[lo:hi], side[lo:hi], percent):
-                        yield _pairs(node[lo:hi][x], node[lo:hi][y])
+                        yield from told(lo + x, lo + y)
 
         return stream_groups(rows, ["sig", "i", "j"], "a long, b long", search).distinct()
 
@@ -543,7 +553,10 @@ class JaccardJoin:
         profiles, level = self.profiles()
         groups = self.shared_groups(level)
         nodes = self._write(profiles.drop("id").where("n > 0").dropDuplicates(["node"]), "nodes")
-        stars = self._write(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
+        met = groups.where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("often"))
+        tried = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("often")).alias("often"), "hub"))), 1, HUBS).alias("hubs"))  # a node has no more groups than prefix tokens
+        tried = tried.select("node", F.explode("hubs.hub").alias("hub"))
+        stars = self._write(tried.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
         links = self.verified(self.near(self._write(self.allowed(stars, nodes), "allowed"), nodes))
         comps = components(links)
         more = self._write(self.residual(groups, comps, nodes).join(stars, ["a", "b"], "left_anti"), "residual")
