@@ -165,19 +165,24 @@ def merge_drafts(drafts: DataFrame, view: DataFrame) -> tuple[DataFrame, DataFra
 def retry_context(issues: DataFrame, previous: DataFrame, task_items: DataFrame) -> DataFrame:
     """(task_id, pos, id, text, previous_text, codes): what was wrong with each item of the last draft.
 
-    The item is named by the index in the issue's path; issues of the whole draft have no item.
+    An item is named by the index in the issue's path, or quoted where ids are missing or unknown; other
+    issues of the whole draft have no item.
     """
     at = F.regexp_extract("json_path", r"^\$\.translations\[(\d+)\]", 1)
-    told = issues.select("task_id", F.nullif(at, F.lit("")).cast("int").alias("pos"), "code")
-    per = told.groupBy("task_id", "pos").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    quoted = F.when(F.col("code").isin("id_missing", "id_unknown"), F.regexp_extract_all("message", F.lit('"([^"]*)"'), 1))
+    none = F.array(F.lit(None).cast("string"))
+    told = issues.select("task_id", F.nullif(at, F.lit("")).cast("int").alias("pos"), "code", F.explode(F.when(F.size(quoted) > 0, quoted).otherwise(none)).alias("named"))
     draft = previous.select("task_id", "pos", "id", F.col("translated_text").alias("previous_text"))
+    placed = told.join(draft, ["task_id", "pos"], "left").withColumn("id", F.coalesce("id", "named"))
+    per = placed.groupBy("task_id", "pos", "id", "previous_text").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     texts = task_items.select("task_id", "id", "text")
-    return per.join(draft, ["task_id", "pos"], "left").join(texts, ["task_id", "id"], "left").select("task_id", "pos", "id", "text", "previous_text", "codes")
+    return per.join(texts, ["task_id", "id"], "left").select("task_id", "pos", "id", "text", "previous_text", "codes")
 
 
 def dispatch(plans: DataFrame, budget: int) -> DataFrame:
     """(task_id, chunk_index, wave): which chunks run together when so many requests may be in flight.
 
+    One slim row for each page is numbered in one task; pages wait for a model's answers, so they are few.
     Pages come first: as many pages as the budget allows get a request each, and chunks of a page only
     borrow what is left of it; a page's chunks keep their order.
     """

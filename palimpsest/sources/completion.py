@@ -138,3 +138,29 @@ def draft_items(drafts_: DataFrame) -> DataFrame:
     """(task_id, chunk_index, named_id, k, id, translated_text) of the drafts that parse."""
     parsed = drafts_.select("task_id", "chunk_index", F.from_json("json", DRAFT).alias("d")).where("d.translations IS NOT NULL")
     return parsed.select("task_id", "chunk_index", F.col("d.taskId").alias("named_id"), F.posexplode("d.translations").alias("k", "t")).select("task_id", "chunk_index", "named_id", "k", F.col("t.id").alias("id"), F.col("t.translatedText").alias("translated_text"))
+
+
+def http_transport(base_url: str, token: str) -> Transport:
+    """A chat endpoint over HTTP: the parts of a stream as they come, or the one whole answer."""
+
+    def send(endpoint: Endpoint, payload: dict) -> Iterator[dict]:
+        import json
+        import urllib.error
+        import urllib.request
+
+        request = urllib.request.Request(f"{base_url.rstrip('/')}/chat/completions", json.dumps(payload).encode(), {"content-type": "application/json", "authorization": f"Bearer {token}"})
+        try:
+            with urllib.request.urlopen(request, timeout=endpoint.timeout_ms / 1000) as got:
+                if not payload["stream"]:
+                    yield json.loads(got.read())
+                    return
+                for line in got:
+                    text = line.decode("utf-8").strip()
+                    if text.startswith("data:") and text != "data: [DONE]":
+                        yield json.loads(text[5:])
+        except urllib.error.HTTPError as refused:
+            raise Refused(refused.read().decode("utf-8", "replace") or str(refused), refused.code) from refused
+        except (urllib.error.URLError, TimeoutError) as lost:
+            raise Refused(str(lost)) from lost
+
+    return send

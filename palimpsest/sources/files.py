@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _path(spark: SparkSession, path: str):
+    """A path and its file system; the local one without checksums, as people edit these files too."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+    conf = spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    return target, spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).getRaw() if fs.getUri().getScheme() == "file" else fs
 
 
 def empty(spark: SparkSession, folder: str) -> None:
@@ -86,8 +89,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     target, fs = _path(spark, path)
     if not fs.exists(target):
         return None
-    rows = spark.read.text(path, wholetext=True).collect()  # one configuration file
-    return rows[0][0] if rows else ""
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
