@@ -147,10 +147,10 @@ def test_chunk_views_drafts_and_retries(spark):
     for broken, code in ((drafts.where("chunk_index = 1"), "draft_missing"), (drafts.where("chunk_index = 1 OR k < 2"), "draft_count_mismatch"), (drafts.withColumn("id", F.when(F.col("k") == 2, "9").otherwise(F.col("id"))), "draft_id_mismatch")):
         merged, faults = chunks.merge_drafts(broken, view)
         assert [tuple(r) for r in faults.collect()] == [("t", 2, code)] and merged.count() == 0
-    issues = spark.createDataFrame([("t", "translation_empty", "$.translations[1].translatedText"), ("t", "id_missing", "$.translations")], "task_id string, code string, json_path string")
+    issues = spark.createDataFrame([("t", "translation_empty", "$.translations[1].translatedText", "m"), ("t", "id_missing", "$.translations", 'Missing translation ids "3", "5"'), ("t", "task_id_mismatch", "$.taskId", "x")], "task_id string, code string, json_path string, message string")
     previous = spark.createDataFrame([("t", 1, "2", "")], "task_id string, pos int, id string, translated_text string")
-    told = {r.pos: r for r in chunks.retry_context(issues, previous, items).collect()}
-    assert (told[1].id, told[1].text, told[1].codes) == ("2", "text 1", ["translation_empty"]) and told[None].codes == ["id_missing"]
+    told = {r.id: (r.text, r.codes) for r in chunks.retry_context(issues, previous, items).collect()}
+    assert told == {"2": ("text 1", ["translation_empty"]), "3": ("text 2", ["id_missing"]), "5": ("text 4", ["id_missing"]), None: (None, ["task_id_mismatch"])}
     waves = {(r.task_id, r.chunk_index): r.wave for r in chunks.dispatch(plans.unionByName(plans.withColumn("task_id", F.lit("u"))), 2).collect()}
     assert waves == {("t", 1): 0, ("u", 1): 0, ("t", 2): 1, ("u", 2): 1}
 
