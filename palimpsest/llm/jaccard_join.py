@@ -32,8 +32,6 @@ PARITY = tuple(f"p{k}" for k in range(DIMS // 64))
 LEAF = 32
 #: Points of one tree; larger groups are dealt to pairs of tiles.
 TILE = 2000
-#: Hubs that a node is tried against before the trees: those it meets in most groups.
-HUBS = 3
 #: Counters of the tokens' order, in pieces that are summed apart. Tokens that share one are ordered by their hash.
 COUNTERS, COUNTER_PIECES = 1 << 20, 64
 #: Least and greatest number of bits of the filter of nodes whose sets are needed: 1 to 32 MB.
@@ -388,7 +386,7 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the bound of their whole points and then by their sets."""
         percent = self.percent
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
         sets = self.sets(ends)
         tokens = self._write(sets.dropDuplicates(["node"]), "tokens")
         self._drop(sets)
@@ -553,10 +551,7 @@ class JaccardJoin:
         profiles, level = self.profiles()
         groups = self.shared_groups(level)
         nodes = self._write(profiles.drop("id").where("n > 0").dropDuplicates(["node"]), "nodes")
-        met = groups.where("hub <> node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("often"))
-        tried = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("often")).alias("often"), "hub"))), 1, HUBS).alias("hubs"))  # a node has no more groups than prefix tokens
-        tried = tried.select("node", F.explode("hubs.hub").alias("hub"))
-        stars = self._write(tried.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
+        stars = self._write(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
         links = self.verified(self.near(self._write(self.allowed(stars, nodes), "allowed"), nodes))
         comps = components(links)
         more = self._write(self.residual(groups, comps, nodes).join(stars, ["a", "b"], "left_anti"), "residual")
