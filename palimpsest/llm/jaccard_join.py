@@ -10,6 +10,10 @@ wider than the spread of any single coordinate. So shared tokens decide which po
 tree. Whatever the order of all tokens, two sets that link share one of the first
 n - ceil(n * percent / 100) + 1 tokens of either. The order taken puts tokens that few documents
 hold first, so a passage that very many documents share brings none of them together.
+
+Sets that almost link make as many pairs as the square of their number, in every group that they
+share. So the trees tell no pairs, only which points hang together by pairs that the bounds allow:
+at most one row a point. What hangs together is then compared as a whole.
 """
 
 from __future__ import annotations
@@ -360,6 +364,14 @@ class JaccardJoin:
 
         return self._write(self.rows.mapInArrow(make, "node long, tokens binary"), "sets")
 
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens) of at least these nodes, once each; held until the links are counted."""
+        sets = self.sets(nodes)
+        tokens = self._write(sets.dropDuplicates(["node"]), "tokens")
+        self._drop(sets)
+        self.held.append(tokens)
+        return tokens
+
     def allowed(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs whose sizes and parities allow a link."""
         side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(p).alias(f"{p}_{s}") for p in PARITY])
@@ -386,11 +398,7 @@ class JaccardJoin:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the bound of their whole points and then by their sets."""
         percent = self.percent
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        sets = self.sets(ends)
-        tokens = self._write(sets.dropDuplicates(["node"]), "tokens")
-        self._drop(sets)
-        self.held.append(tokens)
+        tokens = self.tokens(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -410,40 +418,61 @@ class JaccardJoin:
         return self._write(two.mapInArrow(check, "a long, b long"), "links")
 
     def residual(self, groups: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs that share a prefix token, lie in different components and pass the bounds, by R-trees."""
+        """(a, b): nodes that hang together by pairs that share a prefix token, lie in different components and pass the bounds, by R-trees.
+
+        Two nodes that link and aren't in one component hang together, maybe by way of others; a node
+        makes at most one row for each call that sees it. The pair of a node and its group's
+        least one was looked at before, so groups of two have nothing to tell.
+        """
         percent = self.percent
-        parted = skew_join(groups.select("sig", "node"), comps, ["node"], F.col("sig"), "left", 4).select("sig", "node", F.coalesce("comp", "node").alias("part"))
+        parted = skew_join(groups, comps, ["node"], F.col("sig"), "left", 4).select("sig", "node", "hub", F.coalesce("comp", "node").alias("part"))
         parted = self.parted = self._write(parted, "parted")
-        open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
+        open_ = parted.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi AND k > 2").select("sig", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
         rows = skew_join(parted, open_, ["sig"], F.col("node"), "inner", 4).join(nodes, "node")
         tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
         rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "n", "coarse", "odd", *PARITY)
+        rows = rows.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "part", "hub", "n", "coarse", "odd", *PARITY)
 
         def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            sig, i, j, at, node, part, n = (table.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "part", "n"))
+            sig, i, j, at, node, part, hub, n = (table.column(c).to_numpy() for c in ("sig", "i", "j", "tile", "node", "part", "hub", "n"))
             coarse = coarse_in(table.column("coarse"))
             parity = np.stack([table.column(p).to_numpy() for p in PARITY], axis=1)
             begin = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             end = np.append(begin[1:], len(sig))
             side = np.where(i == j, 2, at == j)
             odd = table.column("odd").to_pylist()
+            known, place = np.unique(node, return_inverse=True)
+            first = np.arange(len(known))
 
-            def told(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            def told(first: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                fresh = (first[place[x]] != first[place[y]]) & (hub[x] != node[y]) & (hub[y] != node[x])
+                x, y = x[fresh], y[fresh]
                 cost = np.array([apart(odd[u], odd[v]) for u, v in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
                 fine = (n[x] + n[y] - cost) // 2 >= _needed(n[x], n[y], percent)
-                if fine.any():
-                    yield _pairs(node[x[fine]], node[y[fine]])
+                return unite(first, place[x[fine]], place[y[fine]])
 
             for x, y in _leaf_pairs(begin, end, coarse, parity, n, part, side, percent):
-                yield from told(x, y)
+                first = told(first, x, y)
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 if hi - lo > LEAF:
                     for x, y in tree_pairs(coarse[lo:hi], parity[lo:hi], n[lo:hi], part[lo:hi], side[lo:hi], percent):
-                        yield from told(lo + x, lo + y)
+                        first = told(first, lo + x, lo + y)
+            moved = np.flatnonzero(first != np.arange(len(known)))
+            yield _pairs(known[first[moved]], known[moved])
 
         return stream_groups(rows, ["sig", "i", "j"], "a long, b long", search).distinct()
 
+    def across(self, edges: DataFrame, profiles: DataFrame, comps: DataFrame) -> DataFrame:
+        """(a, b): pairs that connect what links of different components connect, among nodes that hang together by ``edges``."""
+        near = components(edges)
+        parts = skew_join(near.select("node", F.col("comp").alias("all")), comps.select("node", "comp"), ["node"], F.col("all"), "left", 4).select("node", F.coalesce("comp", "node").alias("part"))
+        members = self.members(profiles, near).join(parts, "node")
+        differences = self.differences(members, self.tokens(members.select("node")))
+        out = self._write(self.within(differences, "parts"), "further")
+        self._drop(differences)
+        release(near)
+        return out
+
     def members(self, profiles: DataFrame, comps: DataFrame) -> DataFrame:
         """(node, comp, times, n, k, weight): the nodes of links, their rows and sizes, and the nodes and tokens of their component."""
         times = profiles.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
@@ -451,25 +480,22 @@ class JaccardJoin:
         sized = both.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
         return self._write(skew_join(both, sized, ["comp"], F.col("node"), "inner", 4), "members")
 
-    def differences(self, members: DataFrame) -> DataFrame:
-        """(comp, node, times, n, lost, base, other): each set of a component of three nodes or more by how it differs from the least node's.
+    def differences(self, members: DataFrame, tokens: DataFrame) -> DataFrame:
+        """(comp, node, part, times, n, lost, base, other): each set of a component by how it differs from the least node's.
 
         ``other`` holds the tokens of exactly one of the two, ``lost`` counts those that the set lacks, ``base``
         those of the first. Near copies differ in few, so what meets in pairs below is small. The first set
         goes to every part that a large component is dealt to.
         """
-        seen = self.held[0]
-        for tokens in self.held[1:]:
-            seen = seen.unionByName(tokens.join(seen.select("node"), "node", "left_anti"))
         parts = F.ceil(F.col("weight") / FIRST_TOKENS).cast("int")
-        rows = members.where("k > 2").join(seen, "node").withColumn("parts", parts)
+        rows = members.join(tokens, "node").withColumn("parts", parts)
         own = F.struct(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("at"), F.col("times").alias("times"))
         first = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("at"), F.lit(0).cast("long").alias("times")))
         rows = rows.withColumn("to", F.explode(F.when(F.col("node") == F.col("comp"), F.concat(first, F.array(own))).otherwise(F.array(own))))
-        both = rows.select("comp", "to.at", "node", "to.times", "n", "tokens")
+        both = rows.select("comp", "to.at", "node", "part", "to.times", "n", "tokens")
 
         def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            comp, at, node, times, n = (table.column(c).to_numpy() for c in ("comp", "at", "node", "times", "n"))
+            comp, at, node, part, times, n = (table.column(c).to_numpy() for c in ("comp", "at", "node", "part", "times", "n"))
             tokens = table.column("tokens").combine_chunks()
             out: dict[str, list] = {"row": [], "lost": [], "base": [], "other": []}
             begin = np.flatnonzero(np.concatenate(([True], (comp[1:] != comp[:-1]) | (at[1:] != at[:-1]))))
@@ -486,31 +512,54 @@ class JaccardJoin:
                         out["other"].append(other.tobytes())
             take = np.array(out["row"], np.int64)
             yield pa.RecordBatch.from_pydict({
-                "comp": pa.array(comp[take]), "node": pa.array(node[take]), "times": pa.array(times[take]), "n": pa.array(n[take]), "lost": pa.array(out["lost"], pa.int64()), "base": pa.array(out["base"], pa.int64()), "other": pa.array(out["other"], pa.binary()),
+                "comp": pa.array(comp[take]), "node": pa.array(node[take]), "part": pa.array(part[take]), "times": pa.array(times[take]), "n": pa.array(n[take]), "lost": pa.array(out["lost"], pa.int64()), "base": pa.array(out["base"], pa.int64()), "other": pa.array(out["other"], pa.binary()),
             })
 
-        return self._write(stream_groups(both, ["comp", "at"], "comp long, node long, times long, n long, lost long, base long, other binary", compare), "differences")
+        return self._write(stream_groups(both, ["comp", "at"], "comp long, node long, part long, times long, n long, lost long, base long, other binary", compare), "differences")
 
-    def within(self, members: DataFrame, pairs: bool) -> DataFrame:
-        """Every link of components of three nodes or more: (a, b), or (node, near), the rows that link with a node's.
+    def all_differences(self, members: DataFrame) -> DataFrame:
+        """The differences of components of three nodes or more; each node is a part of its own."""
+        seen = self.held[0]
+        for tokens in self.held[1:]:
+            seen = seen.unionByName(tokens.join(seen.select("node"), "node", "left_anti"))
+        return self.differences(members.where("k > 2").withColumn("part", F.col("node")), seen)
+
+    def within(self, rows: DataFrame, what: str) -> DataFrame:
+        """Every link of components, of which ``rows`` are the differences: ``pairs`` (a, b), or ``counts`` (node, near), the rows that link with a node's.
 
         All links lie within components. Each two tiles of a component meet in one task, which
         counts the overlap of all their sets exactly; so each pair is looked at once. Of sets s and t the
         overlap is base - lost(s) - lost(t) + |other(s) and other(t)|.
+
+        ``parts`` gives (a, b) too, but only what connects nodes as links of different parts do, at most one row
+        for each node of two tiles. A part that fills a tile has tiles of its own, which don't meet.
         """
         percent = self.percent
-        rows = self.differences(members)
-        heavy = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum(F.octet_length("other")) / (8 * SIDE_TOKENS))).cast("int").alias("tiles"))
-        rows = skew_join(rows, heavy, ["comp"], F.col("node"), "inner", 4)
-        rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("comp", F.least("tile", "beside").alias("i"), F.greatest("tile", "beside").alias("j"), "tile", "node", "times", "n", "lost", "base", "other")
+        tiles = F.greatest(F.ceil(F.sum("k") / SIDE), F.ceil(F.sum("size") / (8 * SIDE_TOKENS))).cast("int").alias("tiles")
+        sized = rows.select("comp", "part", F.lit(1).alias("k"), F.octet_length("other").cast("long").alias("size"))
+        if what == "parts":
+            own = sized.groupBy("comp", "part").agg(tiles, F.sum("k").alias("k"), F.sum("size").alias("size")).withColumn("alone", F.when(F.col("tiles") > 1, F.col("part"))).drop("tiles")
+            sized = own
+            rows = skew_join(rows, own.where("alone IS NOT NULL").select("comp", "part", "alone"), ["comp", "part"], F.col("node"), "left", 4)
+        else:
+            sized, rows = (x.withColumn("alone", F.lit(None).cast("long")) for x in (sized, rows))
+        dealt = sized.groupBy("comp", "alone").agg(tiles).groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("alone", "tiles"))).alias("plan"))
+        dealt = dealt.select("comp", F.flatten(F.transform("plan", lambda x: F.array_repeat(x["alone"], x["tiles"]))).alias("whose"))
+        rows = skew_join(rows, dealt, ["comp"], F.col("node"), "inner", 4)
+        every = F.sequence(F.lit(0), F.size("whose") - 1)
+        mine = F.filter(every, lambda k: F.get("whose", k).eqNullSafe(F.col("alone")))
+        rows = rows.withColumn("mine", mine).withColumn("tile", F.get("mine", F.pmod(F.xxhash64("node"), F.size("mine")).cast("int")))
+        rows = rows.withColumn("beside", F.explode(F.filter(every, lambda k: F.get("whose", k).isNull() | ~F.get("whose", k).eqNullSafe(F.col("alone")))))
+        rows = rows.select("comp", F.least("tile", "beside").alias("i"), F.greatest("tile", "beside").alias("j"), "tile", "node", "part", "times", "n", "lost", "base", "other")
 
         def count(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            comp, i, j, tile, node, times, n, lost, base = (table.column(c).to_numpy() for c in ("comp", "i", "j", "tile", "node", "times", "n", "lost", "base"))
+            comp, i, j, tile, node, part, times, n, lost, base = (table.column(c).to_numpy() for c in ("comp", "i", "j", "tile", "node", "part", "times", "n", "lost", "base"))
             begin = np.flatnonzero(np.concatenate(([True], (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             tokens = table.column("other").combine_chunks()
             near = np.zeros(len(node), np.int64)
             for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(node)], strict=True):
+                if (part[lo:hi] == part[lo]).all():
+                    continue
                 left, right = (lo + np.flatnonzero(tile[lo:hi] == t[lo]) for t in (i, j))
                 first = [np.frombuffer(tokens[int(x)].as_buffer(), np.uint64) for x in left]
                 second = first if i[lo] == j[lo] else [np.frombuffer(tokens[int(x)].as_buffer(), np.uint64) for x in right]
@@ -518,15 +567,21 @@ class JaccardJoin:
                 link = 100 * both >= percent * (n[left][:, None] + n[right][None] - both)
                 if i[lo] == j[lo]:
                     link &= node[left][:, None] < node[right][None]
-                x, y = np.nonzero(link)
-                if pairs:
-                    yield _pairs(node[left[x]], node[right[y]])
-                near[left] += link @ times[right]
-                near[right] += times[left] @ link
-            if not pairs:
+                if what == "counts":
+                    near[left] += link @ times[right]
+                    near[right] += times[left] @ link
+                    continue
+                x, y = np.nonzero(link & (part[left][:, None] != part[right][None]))
+                x, y = left[x], right[y]
+                if what == "parts":
+                    first = unite(np.arange(hi - lo), x - lo, y - lo)
+                    y = lo + np.flatnonzero(first != np.arange(hi - lo))
+                    x = lo + first[y - lo]
+                yield _pairs(node[x], node[y])
+            if what == "counts":
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "near": pa.array(near, pa.int64())})
 
-        return stream_groups(rows, ["comp", "i", "j"], "a long, b long" if pairs else "node long, near long", count)
+        return stream_groups(rows, ["comp", "i", "j"], "node long, near long" if what == "counts" else "a long, b long", count)
 
     def links(self) -> DataFrame:
         """(a, b), a < b: every two nodes that link, within components too. Rows of one node link as well.
@@ -536,14 +591,14 @@ class JaccardJoin:
         profiles, comps = self.parts()
         members = self.members(profiles, comps)
         two = members.where("k = 2").groupBy("comp").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
-        return two.unionByName(self.within(members, pairs=True))
+        return two.unionByName(self.within(self.all_differences(members), "pairs"))
 
     def link_counts(self, profiles: DataFrame, comps: DataFrame) -> DataFrame:
         """(node, near): the rows of other nodes that link with a node of a component."""
         members = self.members(profiles, comps)
         both = members.where("k = 2").groupBy("comp").agg(F.sum("times").alias("all"))
         two = members.where("k = 2").join(both, "comp").select("node", (F.col("all") - F.col("times")).alias("near"))
-        return two.unionByName(self.within(members, pairs=False)).groupBy("node").agg(F.sum("near").alias("near"))
+        return two.unionByName(self.within(self.all_differences(members), "counts")).groupBy("node").agg(F.sum("near").alias("near"))
 
     def parts(self) -> tuple[DataFrame, DataFrame]:
         """The rows' profiles, and (node, comp) of each node that links."""
@@ -554,14 +609,14 @@ class JaccardJoin:
         stars = self._write(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "stars")
         links = self.verified(self.near(self._write(self.allowed(stars, nodes), "allowed"), nodes))
         comps = components(links)
-        more = self._write(self.residual(groups, comps, nodes).join(stars, ["a", "b"], "left_anti"), "residual")
-        self._drop(groups, stars, self.parted)
+        more = self._write(self.residual(groups, comps, nodes), "residual")
+        self._drop(groups, stars, self.parted, nodes)
         if not more.isEmpty():
-            further = self.verified(self.near(more, nodes))
+            further = self.across(more, profiles, comps)
             if not further.isEmpty():
                 release(comps)
                 comps = components(links.unionByName(further))
-        self._drop(more, nodes)
+        self._drop(more)
         self.temporary.append(comps)
         return profiles.select("id", "n", "node"), comps
 
@@ -592,6 +647,20 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
+def unite(first: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least place that each place hangs together with, once x and y do too; ``first`` is what was known before."""
+    while True:
+        a, b = first[x], first[y]
+        still = a != b
+        if not still.any():
+            return first
+        x, y, a, b = x[still], y[still], a[still], b[still]
+        first = first.copy()
+        np.minimum.at(first, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(first, further := first[first]):
+            first = further
+
+
 def _leaf_pairs(begin: np.ndarray, end: np.ndarray, coarse: np.ndarray, parity: np.ndarray, sizes: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """What ``tree_pairs`` gives for groups of at most a leaf, whose tree is that leaf: all of them at once."""
     small = end - begin <= LEAF

@@ -151,6 +151,63 @@ def test_many_texts_that_share_a_passage_stay_apart(spark):
     assert join.run().where("doc_id <> component_id").count() == 0
 
 
+def test_sets_that_almost_link_tell_no_square_of_pairs(spark):
+    """Two changes each: any two of 120 texts have 0.886 in common, which the bounds often allow and 0.9 doesn't."""
+    base = [f"w{i}" for i in range(200)]
+    rng = random.Random(3)
+    texts = [" ".join(f"x{k}" if i in at else w for i, w in enumerate(base)) for k in range(120) for at in [rng.sample(range(5, 195), 2)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    join = jaccard_join.JaccardJoin(rows)
+    join.held = []
+    profiles, level = join.profiles()
+    none = spark.createDataFrame([], "node long, comp long")
+    told = join.residual(join.shared_groups(level), none, profiles.drop("id").dropDuplicates(["node"]))
+    assert 60 < told.count() < 4 * 120
+    join.close()
+
+
+@pytest.mark.parametrize(("side", "tile"), [(1024, 2000), (3, 20)])
+def test_jaccard_links_of_parts_that_almost_link(spark, monkeypatch, side, tile):
+    monkeypatch.setattr(jaccard_join, "SIDE", side)  # of the driver, where the tiles are decided
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"x{rng.randrange(4)}" if i in at else w for i, w in enumerate(base)) for _ in range(150) for at in [rng.sample(range(0, 150, 10), rng.choice((1, 2, 3, 5)))]]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(words, texts)]
+    want = list(range(len(sets)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 90 * len(s | sets[j]):
+                old, new = sorted((want[i], want[j]), reverse=True)
+                want = [new if x == old else x for x in want]
+    counted, across = [], jaccard_join.JaccardJoin.across
+
+    def counting(self, *args):
+        out = across(self, *args)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "across", counting)
+    got = {r.doc_id: r for r in jaccard_join.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).run(count_links=True).collect()}
+    assert [got[i].component_id for i in range(len(sets))] == want and 10 < len(set(want)) < 140
+    assert [got[i].n_links for i in got] == [sum(100 * len(sets[i] & t) >= 90 * len(sets[i] | t) for j, t in enumerate(sets) if j != i) for i in got]
+    assert counted[0] > 0  # the stars alone don't find them all
+
+
+def test_unite():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for edges in (0, 1, 30, 200):
+        x, y = rng.integers(0, 100, (2, edges))
+        want = list(range(100))
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            low, high = sorted((want[a], want[b]))
+            want = [low if w == high else w for w in want]
+        half = jaccard_join.unite(np.arange(100), x[: edges // 2], y[: edges // 2])
+        assert jaccard_join.unite(half, x, y).tolist() == want
+
+
 def test_fingerprints(docs, empty):
     rows = fingerprints.edited_fingerprints(docs).collect()
     got = {r.doc_id: r for r in rows}
