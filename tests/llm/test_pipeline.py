@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,24 @@ def test_stages_on_empty_and_clashing_tables(spark, folder):
 def test_rows_without_an_id_stay(spark, folder):
     rows = spark.createDataFrame([(None, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13)], SCHEMA)
     assert Counter(r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, rows, folder).collect()) == Counter({None: 2, 1: 1})
+
+
+def test_batches_of_texts_are_bounded(spark, folder):
+    key, wide = corpus_pipeline.BATCH_LIMIT, spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 10000) AS text", "'en' AS lang", "'a' AS source", "50000L AS n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    before = spark.conf.get(key)
+    try:
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_one_of_near_duplicates, corpus_pipeline.encode_pieces):
+            spark.conf.unset(key)
+            stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            seen = [r.size for r in wide.mapInArrow(sizes, "size long").collect()]
+            assert len(seen) > 3 and max(seen) < 1.1 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(key, "100k")  # a lower limit of the session stays
+        corpus_pipeline.encode_pieces(spark, wide, folder)
+        assert spark.conf.get(key) == "100k"
+    finally:
+        spark.conf.set(key, before)
