@@ -191,3 +191,26 @@ def test_query_matches_oracle(spark, name):
     mine = sorted((tuple(r) for r in got.select(*columns).collect()), key=repr)
     theirs = sorted(con.sql(f"SELECT {order} FROM ({sql})").fetchall(), key=repr)
     assert mine == theirs
+
+
+def given(tmp_path, **tables):
+    """A data folder with these tables, made by DuckDB from their SQL; the others are those of SF."""
+    for t in TABLES:
+        duckdb.sql(f"COPY ({tables.get(t, f"SELECT * FROM '{SF}/{t}.parquet'")}) TO '{tmp_path}/{t}.parquet'")
+    return str(tmp_path)
+
+
+def matches(spark, folder, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    got = catalogue.queries()[name](spark, folder)
+    listed = ", ".join(f'"{c}"' for c in got.columns)
+    theirs = sorted(con.sql(f"SELECT {listed} FROM ({catalogue.oracle_sql()[name]})").fetchall(), key=repr)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == theirs
+    return theirs
+
+
+def test_links_of_all_pages_of_a_url(spark, tmp_path):
+    pages = "SELECT * FROM (VALUES (0::BIGINT, 'https://h/a', '<a href=\"/de\">x</a><a href=\"/in\">y</a>'), (1, 'https://h/a', '<a href=\"/the\">x</a><a href=\"/de\">y</a>')) t(page_id, url, html)"
+    assert [r[1] for r in matches(spark, given(tmp_path, pages=pages), "build_links")] == ["/de", "/in", "/the"]
