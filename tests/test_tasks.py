@@ -255,3 +255,10 @@ def test_drafts_from_prompts(spark):
     assert drafts.where("task_id = 'u'").first().error == "busy"
     retry = spark.createDataFrame([("u", 1, "old", ["translation_empty"])], "task_id string, chunk_index int, previous string, issues array<string>")
     assert "to be mended" in completion.prompts(given, retry).where("task_id = 'u'").first().prompt
+
+
+def test_content_is_joined_once(spark):
+    t = tables(spark, GOOD)
+    found = verify.content_issues(t["task_items"], t["mapping"], t["result_items"], (("cat", "Katze"),))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert verify.failing(**t).count() == 0
