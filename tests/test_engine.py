@@ -10,7 +10,7 @@ from palimpsest.functions import markup as M
 from palimpsest.functions import text as T
 from palimpsest.functions import urls as U
 from palimpsest.operators import chunks, crawl, state, verify
-from palimpsest.plans import catalogue, stages
+from palimpsest.plans import catalogue, stages, store
 from palimpsest.plans.store import workdir
 from palimpsest.sources import jsonl
 
@@ -214,3 +214,39 @@ def matches(spark, folder, name):
 def test_links_of_all_pages_of_a_url(spark, tmp_path):
     pages = "SELECT * FROM (VALUES (0::BIGINT, 'https://h/a', '<a href=\"/de\">x</a><a href=\"/in\">y</a>'), (1, 'https://h/a', '<a href=\"/the\">x</a><a href=\"/de\">y</a>')) t(page_id, url, html)"
     assert [r[1] for r in matches(spark, given(tmp_path, pages=pages), "build_links")] == ["/de", "/in", "/the"]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_item_queries_neither_write_nor_shuffle(spark, tmp_path):
+    folder, held = given(tmp_path), set(store._held)
+    for name in ("item_issues", "list_marker", "placeholders", "identical"):
+        assert "Exchange" not in catalogue.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert set(store._held) == held
+
+
+def test_documents_of_one_id_are_one_page(spark, tmp_path):
+    rows = "SELECT * REPLACE (doc_id // 2 AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' || chr(10) || ' ' || chr(10) || 'c' ELSE chr(10) || 'b' END AS text) FROM '/root/testdata/sf0.001/documents.parquet'"
+    got = catalogue.lines(spark, given(tmp_path, documents=rows)).where("doc_id = 3").orderBy("p").select("p", "n", "pos", "source_text")
+    assert [tuple(r) for r in got.collect()] == [(0, 3, 0, "a"), (1, 3, 1, "b"), (2, 3, 2, "c")]
+
+
+def test_glossary_collapses_white_space_once(spark):
+    items = spark.createDataFrame([("k", "The\u00a0 cat", "x")], "k string, s string, t string")
+    found = verify.glossary_issues(items, "k", "s", "t", (("the", "das"), ("the cat", "die Katze"), ("dog", "Hund"), ("a", "ein")))
+    assert optimized(found).count("regexp_replace(") <= 4
+    assert sorted(r.term for r in found.collect()) == ["the", "the cat"]
+
+
+def test_a_long_chain_names_its_text_once(spark):
+    text = spark.createDataFrame([("Use `x` {y}  THE end!",)], "s string").select(F.concat("s", F.lit("")).alias("s"))
+    assert text.select(T.comparable(F.col("s"))).first()[0] == "use the end"
+    assert optimized(text.where(T.comparable(F.col("s")) == "x")).count("regexp_replace(") <= 12
+
+
+@pytest.mark.parametrize("name", ["verify_issues", "apply_outcome", "item_issues"])
+def test_white_space_of_all_kinds(spark, tmp_path, name):
+    rows = "SELECT * REPLACE (chr(160) || 'a' || chr(8195) || chr(12288) || 'b  c ' || chr(10) || ' ' || chr(65279) || chr(10) || '- x' || chr(13) || chr(10) || 'q' || chr(9) || '%%% ' || doc_id AS text) FROM '/root/testdata/sf0.001/documents.parquet' WHERE doc_id < 60"
+    assert matches(spark, given(tmp_path, documents=rows), name)
